@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity",)
+MODULES = ("toxicity", "quality", "decontaminate")
 
 
 def collect() -> tuple[dict, dict]:

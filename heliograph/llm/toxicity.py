@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliograph.llm.common import TextBatch, read_table, with_text
+from heliograph.llm.textscan import code_points, runs
 
 BUCKETS = 1 << 20
 ORDERS = (3, 4, 5)
@@ -33,12 +34,10 @@ class Model:
     bias: float
 
 
-def _codes(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
+def _codes(run: TextBatch) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, A-Z folded, and the offset of each text."""
-    cp = np.frombuffer(batch.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    before = np.zeros(len(batch.data) + 1, np.int64)
-    np.cumsum((batch.data & 0xC0) != 0x80, out=before[1:])
-    return cp + (((cp >= 65) & (cp <= 90)).astype(np.uint32) << 5), before[batch.start]
+    cp, start = code_points(run)
+    return cp + (((cp >= 65) & (cp <= 90)).astype(np.uint32) << 5), start
 
 
 def _gram_buckets(cp: np.ndarray, n: int) -> np.ndarray:
@@ -49,19 +48,6 @@ def _gram_buckets(cp: np.ndarray, n: int) -> np.ndarray:
     return h & np.uint32(BUCKETS - 1)
 
 
-def _pieces(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, TextBatch]]:
-    """The rows in runs of about `size` bytes (one whole text at least), with their first row."""
-    whole = TextBatch(column)
-    at = 0
-    while at < whole.n:
-        to = max(at + 1, int(np.searchsorted(whole.start, whole.start[at] + size, side="right")) - 1)
-        run = TextBatch.__new__(TextBatch)
-        run.n, run.start = to - at, whole.start[at : to + 1] - whole.start[at]
-        run.data = whole.data[whole.start[at] : whole.start[to]]
-        yield at, run
-        at = to
-
-
 def _hits(run: TextBatch, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs (row, bucket) of the buckets in use."""
     cp, start = _codes(run)
@@ -90,7 +76,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int
         every = np.ones(BUCKETS, bool)
         for batch in batches:
             toxic = batch.column(0).to_pylist()
-            for at, run in _pieces(batch.column(1)):
+            for at, run in runs(batch.column(1)):
                 doc, bucket = _hits(run, every)
                 cut = np.searchsorted(doc, np.arange(run.n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + run.n], pa.int32()), pa.array([bucket[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(run.n)], pa.binary())], ["toxic", "buckets"])
@@ -146,7 +132,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         used = weight != 0
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for first, run in _pieces(batch.column(at)):
+            for first, run in runs(batch.column(at)):
                 doc, bucket = _hits(run, used)
                 z = np.bincount(doc, weights=weight[bucket].astype(np.float64), minlength=run.n) + bias
                 scores[first : first + run.n] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
