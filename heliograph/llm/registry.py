@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "quality", "decontaminate")
+MODULES = ("toxicity", "quality", "decontaminate", "jaccard")
 
 
 def collect() -> tuple[dict, dict]:
