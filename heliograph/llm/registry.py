@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "quality", "decontaminate", "jaccard")
+MODULES = ("toxicity", "quality", "decontaminate", "jaccard", "pii")
 
 
 def collect() -> tuple[dict, dict]:
