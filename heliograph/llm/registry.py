@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "quality", "decontaminate", "jaccard", "pii", "urls", "packing")
+MODULES = ("toxicity", "quality", "decontaminate", "jaccard", "pii", "urls", "packing", "sharding")
 
 
 def collect() -> tuple[dict, dict]:
