@@ -153,6 +153,32 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, least_items: int =
     )
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
+    """documents without those of `least_items` items or more; from the others' texts the hit words are cut,
+    with the separators after them. Other columns, and rows without hits, stay as they are."""
+    found = find(documents, benchmark).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.size("item_ids").alias("_n"), "spans")
+    # the words of a text with what follows each, so that the rest can be put together again
+    rows = documents.join(found, documents["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_th")), "left")
+    rows = rows.filter(F.coalesce(F.col("_n"), F.lit(0)) < least_items)
+    body = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+    text = F.col("text").cast("string")
+    hit = F.col("_n").isNotNull()
+    # first what stands before the first word, then each word with its separators; a fold keeps positions
+    pieces = F.when(hit, F.regexp_extract_all(F.regexp_replace(text, "[A-Z]", "a"), F.lit(f"(?:{body})++(?!{body})" + r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*+"), F.lit(0)))
+    rows = rows.withColumn("_len", F.transform(pieces, lambda p: F.length(p)))
+    rows = rows.withColumn("_lead", F.when(hit, F.length(text) - F.aggregate("_len", F.lit(0), lambda a, x: a + x)))
+    rows = rows.withColumn(
+        "_kept",
+        F.aggregate(
+            F.transform("_len", lambda n, i: F.struct(n.alias("n"), i.alias("i"))),
+            F.struct((F.col("_lead") + 1).alias("at"), F.substring(text, F.lit(1), F.col("_lead")).alias("out")),
+            lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.when(F.exists("spans", lambda s: (s["s"] <= x["i"]) & (x["i"] < s["s"] + s["len"])), a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"], x["n"]))).alias("out")),
+            lambda a: a["out"],
+        ),
+    )
+    return rows.withColumn("text", F.when(hit, F.col("_kept")).otherwise(F.col("text"))).select(*documents.columns)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 

@@ -399,6 +399,24 @@ def components_of(documents: DataFrame, width: int = 5, percent: int = 80) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """documents without all but one of each group of linked ones (the one of the least doc_id; of rows
+    with the same id too one stays). Documents without words, which link with nothing, all stay, and so do
+    rows without an id whose group has no id at all."""
+    rows = materialize(components_of(documents, width, percent), "components")
+    gone = rows.filter((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = materialize(gone.select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
+    left = documents.join(gone, documents["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    again = materialize(rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again"), "repeated")
+    if again.isEmpty():
+        return left
+    again = F.broadcast(again) if again.count() <= SMALL else again
+    same = left["doc_id"] == F.col("_again")
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, same, "left_anti").unionByName(once)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(read_table(spark, sf_dir, "documents"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "quality", "decontaminate", "jaccard", "pii", "urls", "packing", "sharding", "training_order")
+MODULES = ("toxicity", "quality", "decontaminate", "jaccard", "pii", "urls", "packing", "sharding", "training_order", "html")
 
 
 def collect() -> tuple[dict, dict]:
