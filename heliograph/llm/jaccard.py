@@ -17,9 +17,10 @@ in the same or the next size class, a set indexes its pairs under both.
 2. A second pass indexes prefixes. Rare signatures travel as packed arrays, each to one of many
    parts, which drops those of a single class (nearly all). Frequent signatures travel as rows.
 3. Links are sought where they can still join components: first each signature's members against
-   one pivot, in rounds of different pivots, then all pairs of members in different components.
-   A signature whose members are in one component emits nothing, so that a group of n copies costs
-   n pairs. All candidate pairs are verified on whole sets.
+   one pivot, in further rounds (signatures of many members only) against other pivots, then all pairs
+   of members in different components. A signature whose members are in one component emits nothing,
+   so that a group of n copies costs n pairs. Parity maps rule out most candidate pairs; the others are
+   verified on whole sets.
 
 Texts without words (null texts too) have an empty set and link with nothing. Fewer than five words
 are one shingle. Repeated rows are copies like any others. Rows keep their number.
@@ -89,6 +90,34 @@ def digests(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return size, sums
 
 
+#: Bits of the fixed part of a set's parity maps.
+HEAD = 256
+
+
+def parity_maps(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each set the parities of the tokens that fall on each bit: a head of HEAD bits for all, and a map of
+    as many bits as the set has tokens, or up to twice as many (a power of two, HEAD at least). Two maps
+    differ in no more bits than the sets do in tokens, which rules out most pairs without their sets. A
+    map's half added to its other half is the map of half the bits, so that maps of any two sets compare."""
+    bits = np.maximum(HEAD, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    place = (h >> np.uint64(11)).astype(np.int64)
+    full = np.bincount(start[doc] + (place & (bits[doc] - 1)), minlength=start[-1]).astype(np.uint8) & 1
+    packed = np.packbits(full)
+    maps = [packed[lo // 8 : hi // 8].tobytes() for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+    head = np.bincount(doc * HEAD + (place & (HEAD - 1)), minlength=len(size) * HEAD).reshape(len(size), HEAD).astype(np.uint8) & 1
+    return np.packbits(head, axis=1), maps
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """Bits in which two maps differ, the longer one folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) != len(y):
+        n = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """Rows of a two-dimensional array as a binary column."""
     rows = np.ascontiguousarray(rows)
@@ -98,18 +127,19 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _sizes(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, th (the text's hash), n, cls for each document; and token, times for what a chunk repeats."""
+    """doc_id, th (the text's hash), n, cls, map for each document; and token, times for what a chunk repeats."""
     texts = documents.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, n_held, id_type = [], set(), 0, None
+        names = ["doc_id", "th", "n", "cls", "head", "map", "token", "times"]
 
         def counts() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True)
             token, times = token[times > 1].view(np.int64), times[times > 1]
-            none = [pa.nulls(len(token), t) for t in (id_type, pa.int64(), pa.int64(), pa.binary())]
-            return pa.RecordBatch.from_arrays([*none, pa.array(token), pa.array(times.astype(np.int64))], ["doc_id", "th", "n", "cls", "token", "times"])
+            none = [pa.nulls(len(token), t) for t in (id_type, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(token), pa.array(times.astype(np.int64))], names)
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -117,7 +147,8 @@ def _sizes(documents: DataFrame, width: int) -> DataFrame:
                 doc, h = shingles(run, width)
                 size, sums = digests(doc, h, run.n)
                 cls = _binary(sums)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, run.n), batch.column(1).slice(at, run.n), pa.array(size.astype(np.int64)), cls, pa.nulls(run.n, pa.int64()), pa.nulls(run.n, pa.int64())], ["doc_id", "th", "n", "cls", "token", "times"])
+                head, maps = parity_maps(doc, h, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, run.n), batch.column(1).slice(at, run.n), pa.array(size.astype(np.int64)), cls, _binary(head), pa.array(maps, pa.binary()), pa.nulls(run.n, pa.int64()), pa.nulls(run.n, pa.int64())], names)
                 keys = sums[:, 0].tolist()
                 fresh = np.zeros(run.n, bool)
                 for k, key in enumerate(keys):
@@ -132,7 +163,7 @@ def _sizes(documents: DataFrame, width: int) -> DataFrame:
         if held:
             yield counts()
 
-    return texts.mapInArrow(scan, f"doc_id {kind}, th bigint, n bigint, cls binary, token bigint, times bigint")
+    return texts.mapInArrow(scan, f"doc_id {kind}, th bigint, n bigint, cls binary, head binary, map binary, token bigint, times bigint")
 
 
 def _need(n: int, percent: int) -> int:
@@ -299,10 +330,10 @@ def _postings(index: DataFrame, bits: int) -> DataFrame:
     return rare.unionByName(often.select("sig", "cls", "n", "rare"))
 
 
-def _sets(documents: DataFrame, sizes: DataFrame, postings: DataFrame, width: int) -> DataFrame:
-    """cls, tokens (sorted hashes) of the classes that have postings; one text of each is read again."""
-    need = postings.select("cls").distinct()
-    one = materialize(sizes.groupBy("cls").agg(F.min("th").alias("th")).join(need, "cls", "left_semi").select("th"), "needed")
+def _sets(documents: DataFrame, classes: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """cls, tokens (sorted hashes) of the needed classes; one text of each is read again.
+    classes: cls, th. need: cls."""
+    one = materialize(classes.join(need, "cls", "left_semi").select("th"), "needed")
     small = one.count() <= SMALL
     texts = documents.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).join(F.broadcast(one) if small else one, "th", "left_semi").select("text")
 
@@ -323,10 +354,22 @@ def _sets(documents: DataFrame, sizes: DataFrame, postings: DataFrame, width: in
     return materialize(texts.mapInArrow(scan, "cls binary, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose similarity reaches the percentage."""
-    left = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
+def _verify(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs a, b whose similarity reaches the percentage. The sets' parity maps rule out most pairs; the
+    sets of the rest are read again. classes: cls, n, th, map."""
+
+    def joined(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        for side in "ba":
+            df = df.join(table.select(F.col("cls").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        return df.select("a", "b", *(f"{c}_{side}" for c in columns for side in "ab"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for ma, mb, na, nb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                # similarity p means: common >= p total / (100 + p), so that total - 2 common differ at most
+                ok.append(differ(ma, mb) * (100 + percent) <= (na + nb) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,18 +381,38 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(check, "a binary, b binary")
+    likely = materialize(joined(pairs, classes, "map", "n").mapInArrow(near, "a binary, b binary"), "likely")
+    if likely.isEmpty():
+        return likely
+    need = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    return materialize(joined(likely, _sets(documents, classes, need, width), "tokens").mapInArrow(check, "a binary, b binary"), "links")
 
 
 def _similar_size(x: str, y: str, percent: int) -> F.Column:
     return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
-def links(documents: DataFrame, width: int = 5, percent: int = 80, heavy: int = 64, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def _across(members: DataFrame, percent: int, with_map: bool = False) -> DataFrame:
+    """Pairs a, b of members (sig, cls, n, root) of one signature in different components. Of large lists
+    only those that the heads of the parity maps allow: the join compares them and emits no other pair."""
+    words = [f"w{k}" for k in range(HEAD // 64)] if with_map else []
+    if with_map:
+        members = members.withColumns({w: F.conv(F.hex(F.substring("head", 8 * k + 1, 8)), 16, -10).cast("bigint") for k, w in enumerate(words)})
+    x, y = (members.select("sig", *(F.col(c).alias(c + side) for c in ("cls", "n", "root", *words))) for side in "xy")
+    allowed = (x["sig"] == y["sig"]) & (F.col("rootx") < F.col("rooty")) & _similar_size("nx", "ny", percent)
+    if with_map:
+        apart = F.lit(0)
+        for w in words:
+            apart = apart + F.bit_count(F.col(w + "x").bitwiseXOR(F.col(w + "y")))
+        allowed = allowed & (apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent))
+    return x.join(y, allowed).select(F.col("clsx").alias("a"), F.col("clsy").alias("b"))
+
+
+def links(documents: DataFrame, width: int = 5, percent: int = 80, heavy: int = 64, rounds: int = 1, large: int = 64) -> tuple[DataFrame, DataFrame]:
     """sizes (doc_id, th, n, cls) of all documents, and roots (node, root) of the classes that are linked."""
     spark = documents.sparkSession
     scanned = materialize(_sizes(documents, width), "sizes")
-    sizes = scanned.filter("th is not null and token is null").select("doc_id", "th", "n", F.expr("if(n > 0, cls, null)").alias("cls"))
+    sizes = scanned.filter("th is not null and token is null").select("doc_id", "th", "n", F.expr("if(n > 0, cls, null)").alias("cls"), "head", "map")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     least = max(heavy, total // MOST_FREQUENT)
     often = scanned.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("token").toArrow()
@@ -358,34 +421,43 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80, heavy: int =
     bits = max(4, int(np.ceil(np.log2(max(1, total * (101 - percent) / 100 / 2_000_000)))))
     index = materialize(_index(documents, frequent, width, percent, bits), "prefixes")
     postings = materialize(_postings(index, bits), "postings")
-    filled = sizes.filter("n > 0")
-    sets = _sets(documents, filled, postings, width)
+    classes = materialize(sizes.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("head").alias("head"), F.first("map").alias("map")), "class_facts")
     roots = spark.createDataFrame([], "node binary, root binary")
     edges = None
     for k in range(rounds + 1):
-        now = postings.join(roots, postings["cls"] == roots["node"], "left").select("sig", "cls", "n", "rare", F.coalesce("root", "cls").alias("root"))
+        known = F.broadcast(roots) if roots.count() <= MOST_FREQUENT else roots
+        now = postings.join(known, postings["cls"] == known["node"], "left").select("sig", "cls", "n", "rare", F.coalesce("root", "cls").alias("root"))
         now = materialize(now, "members")
         # the first pivot is the member with the fewest tokens of its own, later ones are by chance
         rank = F.struct("rare", "cls", "n", "root") if k == 0 else F.struct(F.xxhash64("root", F.lit(k)).alias("rank"), "cls", "n", "root")
-        lists = now.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(rank).alias("pivot")).filter("lo <> hi").select("sig", "pivot")
+        lists = now.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(rank).alias("pivot"), F.count("*").alias("members")).filter("lo <> hi").select("sig", "pivot", "members")
         lists = materialize(lists, "open_lists")
         if lists.isEmpty():
             break
+        if k and k < rounds:
+            many = lists.filter(F.col("members") > large)
+            if many.isEmpty():
+                k = rounds
+            else:
+                lists = many
         if k < rounds:
             met = now.join(lists, "sig").filter(F.col("root") != F.col("pivot.root")).filter(_similar_size("n", "pivot.n", percent))
             pairs = met.select(F.col("pivot.cls").alias("a"), F.col("cls").alias("b"))
         else:
             # what is left: all pairs across components
-            mine = materialize(now.join(lists.select("sig"), "sig", "left_semi"), "open_members")
-            x, y = (mine.select("sig", *(F.col(c).alias(c + s) for c in ("cls", "n", "root"))) for s in "xy")
-            met = x.join(y, "sig").filter(F.col("rootx") < F.col("rooty")).filter(_similar_size("nx", "ny", percent))
-            pairs = met.select(F.col("clsx").alias("a"), F.col("clsy").alias("b"))
+            mine = materialize(now.join(lists.select("sig", "members"), "sig"), "open_members")
+            pairs = _across(mine.filter(F.col("members") <= large), percent)
+            big = mine.filter(F.col("members") > large)
+            if not big.isEmpty():
+                pairs = pairs.unionByName(_across(big.join(classes.select("cls", "head"), "cls"), percent, with_map=True))
         pairs = materialize(pairs.distinct(), "pairs")
-        fresh = materialize(_verify(pairs, sets, percent), "links")
+        fresh = _verify(pairs, documents, classes, width, percent)
         edges = fresh if edges is None else edges.unionByName(fresh)
         if not fresh.isEmpty():
             roots = materialize(components(edges), "roots")
-    return sizes, roots
+        if k == rounds:
+            break
+    return sizes.drop("head", "map"), roots
 
 
 def components_of(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
