@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.llm.common import TextBatch, read_table, with_text
+from heliograph.llm.common import TextBatch, materialize, read_table, with_text
 from heliograph.llm.textscan import code_points, runs
 
 BUCKETS = 1 << 20
@@ -81,22 +81,45 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int
                 cut = np.searchsorted(doc, np.arange(run.n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + run.n], pa.int32()), pa.array([bucket[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(run.n)], pa.binary())], ["toxic", "buckets"])
 
-    got = rows.mapInArrow(extract, "toxic int, buckets binary").collect()
-    got.sort(key=lambda r: (r.toxic, bytes(r.buckets)))  # the same model whatever order the rows came in
-    y = np.array([r.toxic for r in got], np.float64)
-    if len(y) == 0 or y.min() == y.max():
-        rate = 0.5 if len(y) == 0 else (y.sum() + 1) / (len(y) + 2)
+    # the driver gets sums by bucket, then the kept buckets of each row: never whole feature lists
+    table = materialize(rows.mapInArrow(extract, "toxic int, buckets binary"), "toxicity_rows")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+        for batch in batches:
+            for t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[t, np.frombuffer(b, np.int32)] += 1  # a row's buckets are distinct
+                n[t] += 1
+        used = np.flatnonzero(sums.any(0)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in n] + [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (used, sums[0, used], sums[1, used])], ["n0", "n1", "used", "s0", "s1"])
+
+    seen, in_class = np.zeros(2), np.zeros((2, BUCKETS), np.int64)
+    for r in table.coalesce(4).mapInArrow(count, "n0 bigint, n1 bigint, used binary, s0 binary, s1 binary").toLocalIterator():
+        seen += (r.n0, r.n1)
+        for t, c in enumerate((r.s0, r.s1)):
+            in_class[t, np.frombuffer(r.used, np.int32)] += np.frombuffer(c, np.int32)
+    n_neg, n_pos = seen
+    if not (n_neg and n_pos):
+        rate = (n_pos + 1) / (seen.sum() + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
-    rows_b = [np.frombuffer(r.buckets, np.int32) for r in got]
-    in_pos, in_neg = (np.bincount(np.concatenate([b for b, t in zip(rows_b, y, strict=True) if t == c]), minlength=BUCKETS) for c in (1, 0))
-    n_pos, n_neg = y.sum(), (1 - y).sum()
+    in_neg, in_pos = in_class
     p, q = (in_pos + 1) / (n_pos + 2), (in_neg + 1) / (n_neg + 2)
     ratio = np.log(p / q)
     sure = np.abs(ratio) / np.sqrt(1 / (in_pos + 1) + 1 / (in_neg + 1))
     best = np.argsort(-sure, kind="stable")[:keep]
-    slot = np.full(BUCKETS, -1, np.int64)
+    slot = np.full(BUCKETS, -1, np.int32)
     slot[best] = np.arange(len(best))
-    cols = [c[c >= 0] for c in (slot[b] for b in rows_b)]
+    held = documents.sparkSession.sparkContext.broadcast(slot)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [s[s >= 0].tobytes() for s in (held.value[np.frombuffer(b, np.int32)] for b in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary())], ["toxic", "slots"])
+
+    got = table.mapInArrow(kept, "toxic int, slots binary").collect()
+    got.sort(key=lambda r: (r.toxic, bytes(r.slots)))  # the same model whatever order the rows came in
+    y = np.array([r.toxic for r in got], np.float64)
+    cols = [np.frombuffer(r.slots, np.int32) for r in got]
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     col = np.concatenate(cols)
     r = ratio[best]
