@@ -62,7 +62,7 @@ def _hits(run: TextBatch, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs // BUCKETS, pairs % BUCKETS
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int = 6000, ridge: float = 1e-3, steps: int = 300) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int = 1000, ridge: float = 1e-3, steps: int = 300) -> Model:
     """Fit on labelled rows. labels: doc_id and toxic (1 or 0; other values and nulls are left out;
     of repeated rows the largest counts). Without rows of both classes every score is the base rate,
     0.5 at no rows."""
