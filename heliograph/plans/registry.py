@@ -184,7 +184,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 _HIST = f"""h AS (SELECT {{key}}, len(list_filter([{EDGES}], lambda e: duration_ns >= e * 1000000::BIGINT)) AS b, count(*) AS c FROM {{src}} GROUP BY ALL),
 hc AS (SELECT *, sum(c) OVER (PARTITION BY {{part}} ORDER BY b) AS cum, sum(c) OVER (PARTITION BY {{part}}) AS n FROM h),
 edges AS (SELECT [0.0::DOUBLE, {EDGES}] AS lo, [{EDGES}, 3600000.0::DOUBLE] AS hi),
-pc AS (SELECT {{key}}, """ + ", ".join(f"min(CASE WHEN cum >= ceil(n * {p / 100}) THEN lo[b + 1] + (hi[b + 1] - lo[b + 1]) * (ceil(n * {p / 100}) - (cum - c)) / c END) AS p{p}_ms" for p in (50, 95, 99)) + " FROM hc, edges GROUP BY ALL)"
+pc AS (SELECT {{key}}, """ + ", ".join(f"arg_min(lo[b + 1] + (hi[b + 1] - lo[b + 1]) * (ceil(n * {p / 100}::DOUBLE) - (cum - c)) / c, b) FILTER (WHERE cum >= ceil(n * {p / 100}::DOUBLE)) AS p{p}_ms" for p in (50, 95, 99)) + " FROM hc, edges GROUP BY ALL)"
 
 
 def _hist(src: str, key: str) -> str:
