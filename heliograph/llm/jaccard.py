@@ -43,7 +43,7 @@ from heliograph.llm.graph import components
 from heliograph.llm.textscan import runs
 
 #: Tokens of a chunk: what a task holds before it sends.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Most frequent tokens that may be broadcast.
 MOST_FREQUENT = 1_000_000
 #: Most classes whose texts are picked by a broadcast.
@@ -143,7 +143,7 @@ def _sizes(documents: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             id_type = batch.column(0).type
-            for at, run in runs(batch.column(2)):
+            for at, run in runs(batch.column(2), 1 << 20):
                 doc, h = shingles(run, width)
                 size, sums = digests(doc, h, run.n)
                 cls = _binary(sums)
@@ -248,7 +248,7 @@ def _index(documents: DataFrame, frequent, width: int, percent: int, bits: int)
                     yield pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(row, kinds, strict=False)), *(pa.nulls(1, k) for k in kinds[5:])], names)
 
         for batch in batches:
-            for _, run in runs(batch.column(0)):
+            for _, run in runs(batch.column(0), 1 << 20):
                 doc, h = shingles(run, width)
                 size, sums = digests(doc, h, run.n)
                 fresh = np.zeros(run.n, bool)
@@ -340,7 +340,7 @@ def _sets(documents: DataFrame, classes: DataFrame, need: DataFrame, width: int)
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            for _, run in runs(batch.column(0)):
+            for _, run in runs(batch.column(0), 1 << 20):
                 doc, h = shingles(run, width)
                 size, sums = digests(doc, h, run.n)
                 stop = np.cumsum(size)
