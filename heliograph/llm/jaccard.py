@@ -472,21 +472,33 @@ def components_of(documents: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """documents without all but one of each group of linked ones (the one of the least doc_id; of rows
-    with the same id too one stays). Documents without words, which link with nothing, all stay, and so do
-    rows without an id whose group has no id at all."""
-    rows = materialize(components_of(documents, width, percent), "components")
-    gone = rows.filter((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = materialize(gone.select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-    left = documents.join(gone, documents["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    again = materialize(rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again"), "repeated")
+    """documents without all but one row of each group of linked ones: the row of the least doc_id (rows
+    without an id last), of these the one of the least text hash, of rows equal in both any one. Rows are
+    dropped by id and text, so a null or repeated id touches no other group. Rows without words, which
+    link with nothing, all stay."""
+    sizes, roots = links(documents, width, percent)
+    rows = sizes.filter("n > 0").join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "cls").alias("root"))
+    rows = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
+    rows = materialize(rows, "linked")
+    groups = materialize(rows.groupBy("root").agg(first.alias("kept"), F.sum("times").alias("size")).filter("size > 1").select(F.col("root").alias("of"), "kept"), "groups")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("th") == F.col("kept.th"))
+    marked = rows.join(groups, F.col("root") == F.col("of")).filter(~is_kept | (F.col("times") > 1))
+    marked = materialize(marked.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), is_kept.alias("_once")), "marked")
+
+    def these(once: bool) -> DataFrame:
+        some = marked.filter(F.col("_once") == once).drop("_once")
+        return F.broadcast(some) if some.count() <= SMALL else some
+
+    same = documents["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_th"))
+    again = these(True)
     if again.isEmpty():
-        return left
-    again = F.broadcast(again) if again.count() <= SMALL else again
-    same = left["doc_id"] == F.col("_again")
-    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, same, "left_anti").unionByName(once)
+        return documents.join(these(False), same, "left_anti")
+    # the repeats leave with the others, and one of each comes back
+    once = documents.join(again, same).dropDuplicates(["_d", "_th"]).select(*documents.columns)
+    every = marked.drop("_once")
+    every = F.broadcast(every) if every.count() <= SMALL else every
+    return documents.join(every, same, "left_anti").unionByName(once)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,18 @@ def test_jaccard(docs, empty):
     assert sorted(d for d in kept if d is not None) == sorted({c for _, n, c in want if c is not None})
 
 
+def test_keep_one_by_row(spark):
+    """Null and repeated ids: each group keeps exactly one row, and no row goes for another group's sake."""
+    r = random.Random(9)
+    a, b, c, d, e, f = (words(r, 60, 5000) for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, ""), (None, None), (2, c), (3, c), (3, d), (4, e), (4, f), (None, f), (5, e), (6, b + " tail"), (2, c)]
+    rows += [(None, d + " x"), (None, "only"), (None, "only")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = Counter((x.doc_id, x.text) for x in jaccard.keep_one(df).collect())
+    want = [(1, a), (6, b + " tail"), (None, ""), (None, None), (2, c), (3, d), (4, e), (4, f), (None, "only")]
+    assert got == Counter(want)
+
+
 def test_small_heavy_prefixes(docs):
     """With all repeated tokens in the frequent class the pairs' path gives the same components."""
     sizes, roots = jaccard.links(docs, heavy=2)
