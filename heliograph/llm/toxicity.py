@@ -41,7 +41,9 @@ def _codes(run: TextBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_buckets(cp: np.ndarray, n: int) -> np.ndarray:
-    h = np.full(max(0, len(cp) - n + 1), n, np.uint32)
+    if len(cp) < n:
+        return np.zeros(0, np.uint32)
+    h = np.full(len(cp) - n + 1, n, np.uint32)
     for k in range(n):
         h = (h + cp[k : len(cp) - n + 1 + k]) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)

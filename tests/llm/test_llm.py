@@ -255,6 +255,14 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_of_short_texts(spark):
+    """A run of fewer code points than the longest gram has no such gram."""
+    for n in range(1, 7):
+        df = spark.createDataFrame([(1, "abcdef"[:n])], "doc_id bigint, text string")
+        assert toxicity.score(df, toxicity.Model(np.ones(toxicity.BUCKETS, np.float32), 0.0)).count() == 1
+        assert [len(toxicity._gram_buckets(np.arange(n, dtype=np.uint32), k)) for k in toxicity.ORDERS] == [max(0, n - k + 1) for k in toxicity.ORDERS]
+
+
 def test_quality(docs, empty):
     got = {}
     for r in quality.judge(docs).collect():
