@@ -7,12 +7,18 @@ the same expression, and each match starts after the pieces and matches before i
 
 The bootstrap: every token with a digit, or standing for a base match, is an instance; the words
 beside it are its patterns (`L:word` before, `R:word` after, A-Z folded, without punctuation). Seeds are
-the base matches. A pattern's confidence is the mean score of its occurrences, with `doubt` doubtful
-ones added; an instance's score is the mean confidence of its occurrences' patterns, and 1 for a seed.
-Instances and patterns are a graph whose edges are counts; the scores are passed along it `rounds`
-times. An instance that is no seed, whose score reaches `confident` and which patterns of `support`
-occurrences or more surround on both sides, is an unseen identifier (kind `id`), as long as it does not
-overlap a base match.
+the base matches. A pattern's trust is the mean score of its occurrences, with `doubt` doubtful ones
+added. An occurrence counts by the larger trust of its two patterns, of those with `support` occurrences
+or more; an occurrence without such a pattern says nothing for or against. An instance's score is the
+mean over its occurrences that count, and 1 for a seed. After `rounds` passes of scores, instances that
+reach the bar become seeds, and so on until none is added. Unseen identifiers (kind `id`) are all
+occurrences of these instances, and of any token beside a pattern that is itself confident, as long as
+they do not overlap a base match. The bar leaves 1 - `confident` of the share of occurrences that are no
+seeds: where most tokens with a digit are seeds, any frequent word stands beside seeds and proves nothing.
+
+The passes between additions are few on purpose: unknown tokens score by the patterns that they score,
+so at the fixed point a pattern of n seeds has trust n / (n + doubt) however many unknown tokens it has,
+and nine seeds would do for any word.
 
 A null text is empty. Texts without matches have empty spans. Repeated rows each get their own result.
 """
@@ -121,26 +127,38 @@ def _instances(rows: DataFrame, reach: int = 80) -> DataFrame:
     return rows.withColumn("inst", F.when(F.size("_marks") > 0, near)).drop("tokens", "_marks")
 
 
-def discover(instances: DataFrame, rounds: int = 3, confident: float = 0.9, support: int = 5, doubt: float = 1.0) -> DataFrame:
-    """match, score: the identifiers that the patterns around seeds find.
-
-    instances: match, seed, before, after; one row per occurrence. Occurrences are first summed to
-    edges (pattern, match), so that a frequent token is one row for each pattern."""
-    sides = F.array(F.concat(F.lit("L:"), "before"), F.concat(F.lit("R:"), "after"))
-    edges = instances.select("match", "seed", F.explode(sides).alias("pattern")).filter(F.length("pattern") > 2)
-    edges = materialize(edges.groupBy("pattern", "match").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii_edges")
-    score = materialize(edges.groupBy("match").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("fixed")), "pii_scores")
-    for _ in range(rounds):
-        scored = edges.select("pattern", "match", "n").join(score.select(F.col("match").alias("of"), "score", "fixed"), F.col("match") == F.col("of"))
-        trust = materialize(scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + doubt)).alias("trust"), F.sum("n").alias("uses")), "pii_patterns")
-        seen = scored.select("pattern", "match", "n", "fixed").join(trust.select(F.col("pattern").alias("by"), "trust", "uses"), F.col("pattern") == F.col("by"))
-        score = seen.groupBy("match").agg(
-            F.max("fixed").alias("fixed"),
-            F.when(F.max("fixed"), F.lit(1.0)).otherwise(F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("score"),
-            F.min("uses").alias("uses"), F.count_distinct(F.substring("pattern", 1, 1)).alias("sides"),
-        )
-        score = materialize(score, "pii_scores")
-    return score.filter((~F.col("fixed")) & (F.col("score") >= confident) & (F.col("uses") >= support) & (F.col("sides") == 2)).select("match", "score")
+def discover(instances: DataFrame, rounds: int = 3, confident: float = 0.9, support: int = 5, doubt: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """match: the identifiers that the patterns around seeds find; and pattern: the confident patterns.
+
+    instances: match, seed, before, after; one row per occurrence. Occurrences are first summed, so that
+    a frequent token is one row for each pair of words beside it."""
+    sides = {"l": F.when(F.length("before") > 0, F.concat(F.lit("L:"), "before")), "r": F.when(F.length("after") > 0, F.concat(F.lit("R:"), "after"))}
+    uses = instances.select("match", "seed", *(c.alias(k) for k, c in sides.items())).groupBy("match", "l", "r").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    uses = materialize(uses, "pii_uses")
+    edges = materialize(uses.select("match", "n", F.explode(F.array("l", "r")).alias("pattern")).filter("pattern is not null").groupBy("pattern", "match").agg(F.sum("n").alias("n")), "pii_edges")
+    # a pattern of too few occurrences never counts
+    total = edges.groupBy("pattern").agg(F.sum("n").alias("uses")).filter(F.col("uses") >= support)
+    edges = materialize(edges.join(total.select(F.col("pattern").alias("of")), F.col("pattern") == F.col("of"), "left_semi"), "pii_edges")
+    seeds = materialize(uses.groupBy("match").agg(F.max("seed").alias("fixed")), "pii_seeds")
+    found = seeds.filter("false").select("match")
+    base = uses.agg(F.sum(F.col("n") * F.col("seed").cast("int")) / F.sum("n")).first()[0] or 0.0
+    bar = 1 - (1 - confident) * (1 - base)
+    while True:
+        score = seeds.select("match", "fixed", F.col("fixed").cast("double").alias("score"))
+        for _ in range(rounds):
+            scored = edges.join(score.select(F.col("match").alias("of"), "score"), F.col("match") == F.col("of"))
+            trust = materialize(scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + doubt)).alias("trust")), "pii_patterns")
+            left, right = (trust.select(F.col("pattern").alias(f"{k}p"), F.col("trust").alias(f"{k}t")) for k in "lr")
+            seen = uses.join(left, F.col("l") == F.col("lp"), "left").join(right, F.col("r") == F.col("rp"), "left").withColumn("best", F.greatest("lt", "rt"))
+            seen = seen.filter("best is not null").groupBy("match").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("mean"))
+            score = seeds.join(seen.select(F.col("match").alias("of"), "mean"), F.col("match") == F.col("of"), "left")
+            score = materialize(score.select("match", "fixed", F.when(F.col("fixed"), F.lit(1.0)).otherwise(F.coalesce("mean", F.lit(0.0))).alias("score")), "pii_scores")
+        fresh = materialize(score.filter(~F.col("fixed") & (F.col("score") >= bar)).select("match"), "pii_fresh")
+        sure = trust.filter(F.col("trust") >= bar).select("pattern")
+        if fresh.isEmpty():
+            return found, materialize(sure, "pii_sure")
+        found = materialize(found.unionByName(fresh), "pii_found")
+        seeds = materialize(score.select("match", (F.col("fixed") | (F.col("score") >= bar)).alias("fixed")), "pii_seeds")
 
 
 def spans_of(documents: DataFrame, *ids: str) -> DataFrame:
@@ -148,9 +166,12 @@ def spans_of(documents: DataFrame, *ids: str) -> DataFrame:
     rows = documents.select(*ids, F.xxhash64("text").alias("th"), "text")
     found = materialize(_instances(base_spans(rows, *ids, "th")).select(*ids, "th", "base", "inst"), "pii")
     each = found.select(F.explode("inst").alias("i")).select("i.match", "i.seed", "i.before", "i.after")
-    new = materialize(discover(each), "pii_found")
+    new, sure = discover(each)
     key = [*(F.col(c).alias(f"k{n}") for n, c in enumerate((*ids, "th")))]
-    hits = found.select(*key, F.explode("inst").alias("i")).filter("not i.seed").select(*(f"k{n}" for n in range(len(ids) + 1)), "i.start", "i.stop", F.col("i.match").alias("match")).join(new.select("match"), "match", "left_semi")
+    free = found.select(*key, F.explode("inst").alias("i")).filter("not i.seed").select(*(f"k{n}" for n in range(len(ids) + 1)), "i.start", "i.stop", F.col("i.match").alias("match"), "i.before", "i.after")
+    hits = free.join(new, "match", "left_semi")
+    for side, column in (("L:", "before"), ("R:", "after")):
+        hits = hits.unionByName(free.join(sure, F.concat(F.lit(side), column) == F.col("pattern"), "left_semi"))
     extra = hits.groupBy(*(f"k{n}" for n in range(len(ids) + 1))).agg(F.collect_set(F.struct("start", F.lit(len(ORDER) - 1).alias("rank"), F.lit("id").alias("kind"), "stop", "match")).alias("extra"))
     same = F.lit(True)
     for n, c in enumerate((*ids, "th")):

@@ -179,6 +179,27 @@ def test_pii_bootstrap(spark):
     assert got[99] == "id:12:21" and got[98] == "" and got[3].startswith("email:12:") and "id" not in got[3]
 
 
+def test_pii_contexts(spark):
+    """A rare context bars nothing, and one confident side is enough."""
+    r = random.Random(4)
+    rare = lambda: "".join(r.choice("abcdefghij") for _ in range(12))
+    texts = [f"please mail user{k}@x.example.com today {rare()}" for k in range(30)]
+    texts += ["please mail agent-77z today"] * 3 + [f"{rare()} agent-77z {rare()}"]
+    texts += [f"ssn: user{k}@y.example.com {rare()}" for k in range(30)] + [f"ssn: 77-zz {rare()}"]
+    texts += [f"{rare()} page {k} of it" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {x.doc_id: x.s for x in pii.spans_of(df, "doc_id").select("doc_id", pii.joined("spans").alias("s")).collect()}
+    at = [k for k, t in enumerate(texts) if re.search("agent-77z|77-zz", t)]
+    assert all(found[k].startswith("id:") for k in at)
+    assert not any("id" in found[k] for k in range(len(texts)) if k not in at)
+
+
+def test_pii_frequent_words(spark):
+    """Where nearly all tokens with a digit are seeds, a word beside them proves nothing."""
+    df = spark.createDataFrame([(k, f"and of user{k}@x.example.com the") for k in range(40)] + [(k, f"and of {k} the") for k in (97, 98)], "doc_id bigint, text string")
+    assert pii.spans_of(df, "doc_id").filter("size(spans) > size(base)").count() == 0
+
+
 # ------------------------------------------------------------------ 2, 1, 7
 
 
