@@ -181,13 +181,14 @@ def spans_of(documents: DataFrame, *ids: str) -> DataFrame:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """documents with each span of its text replaced by [KIND]; of overlapping spans the first counts."""
+    """documents with each span of its text replaced by [KIND]; overlapping spans are
+    replaced as one, by the kind of the first."""
     found = spans_of(documents, "doc_id").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("spans").alias("_s")).filter(F.size("_s") > 0).dropDuplicates(["_d", "_th"])
     rows = documents.join(found, documents["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_th")), "left")
     walk = F.aggregate(
         "_s",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(x["start"] < a["at"], a).otherwise(
+        lambda a, x: F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["stop"]).alias("at"), a["out"].alias("out"))).otherwise(
             F.struct(x["stop"].alias("at"), F.concat(a["out"], F.substring("text", a["at"].cast("int") + 1, (x["start"] - a["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, F.length("text"))),

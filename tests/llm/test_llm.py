@@ -200,6 +200,15 @@ def test_pii_frequent_words(spark):
     assert pii.spans_of(df, "doc_id").filter("size(spans) > size(base)").count() == 0
 
 
+def test_redact_overlap(spark):
+    """A span that starts inside another and ends after it leaves no tail."""
+    texts = ["see 10.0.0.4 1111 1111 1111 1113 now", "a 10.0.0.1 b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    spans = {x.doc_id: x.s for x in pii.spans_of(df, "doc_id").select("doc_id", pii.joined("base").alias("s")).collect()}
+    red = {x.doc_id: x.text for x in pii.redact(df).collect()}
+    assert spans[0].startswith("ip:4:12,card:11:") and red == {0: "see [IP] now", 1: "a [IP] b"}
+
+
 # ------------------------------------------------------------------ 2, 1, 7
 
 
