@@ -307,6 +307,19 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_upper_band(spark):
+    """Words parted by bars are less predictable than prose of the same words, and go."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice(("ba", "do", "ki", "lu", "me", "ra", "so", "ti")) for _ in range(r.randrange(2, 6))) for _ in range(3000)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(300)) for _ in range(200)] + [" | ".join(r.choice(vocabulary) for _ in range(300)) for _ in range(2)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    rows = quality.judge(df).collect()
+    assert {x.doc_id for x in rows if not x.base_failed and x.perplexity > x.upper} == {200, 201}
+    assert {x.doc_id for x in rows if x.kept} == set(range(200))
+    loose = quality.judge(df, above=8.0, least_above=0.6)
+    assert loose.filter("perplexity > upper").count() == 0  # what the far band let through
+
+
 def test_kneser_ney_sums_to_one():
     r = np.random.default_rng(1)
     keys, n = np.unique(r.integers(0, 12, (4000, 4)) @ (1 << np.array([18, 12, 6, 0])), return_counts=True)
