@@ -3,24 +3,30 @@
 A document's set is its distinct 5-word shingles (64-bit hashes). Documents of equal sets are one
 class, told by a 128-bit digest; the join is between classes.
 
-Order tokens (shingles): rare before frequent, then by hash. If two sets have a Jaccard similarity of
-t or more, each lacks at most n - ceil(t n) tokens of the other. So a prefix that keeps, after losing
-any n - ceil(t n) tokens, one rare token or two frequent tokens of one group, must share such a
-token or pair with the other set's prefix: of the two prefixes the one that ends first lies, as far as
-it is common, inside the other. Frequent tokens are dealt into groups, more for larger sets: each
-group extends the prefix by one token, and keeps the number of pairs near that of tokens. Sets too
-small for pairs use single frequent tokens. Groups depend on the size class, and as similar sets lie
-in the same or the next size class, a set indexes its pairs under both.
+Order tokens (shingles): rare, frequent, very frequent, within a class by hash. If two sets have a
+Jaccard similarity of t or more, each lacks at most n - ceil(t n) tokens of the other. So a prefix that
+keeps, after losing any n - ceil(t n) tokens, one rare token, two frequent tokens of one group or three
+very frequent tokens of one group, must share such a token or combination with the other set's prefix: of
+the two prefixes the one that ends first lies, as far as it is common, inside the other. Tokens that need
+company are dealt into groups, more for larger sets: each group extends the prefix by one or two tokens,
+and keeps the number of combinations near that of tokens. Sets too small for combinations use single
+tokens. Groups depend on the size class, and as similar sets lie in the same or the next size class, a
+set indexes its combinations under both. Any rule that tells a token's class by the token alone gives
+the same links; the classes only keep lists short.
 
 1. One pass over all texts gives set sizes, digests, and each chunk's repeated tokens; tokens whose
-   counts sum to `heavy` or more are the frequent class (at most a million tokens, broadcast).
+   counts sum to `heavy` or more are frequent, to `heavy` squared or more very frequent (at most a million
+   tokens, the most frequent ones, are broadcast).
 2. A second pass indexes prefixes. Rare signatures travel as packed arrays, each to one of many
-   parts, which drops those of a single class (nearly all). Frequent signatures travel as rows.
-3. Links are sought where they can still join components: first each signature's members against
-   one pivot, in further rounds (signatures of many members only) against other pivots, then all pairs
-   of members in different components. A signature whose members are in one component emits nothing,
-   so that a group of n copies costs n pairs. Parity maps rule out most candidate pairs; the others are
-   verified on whole sets.
+   parts, which drops those of a single class (nearly all). Combinations travel as rows. Where a single
+   token's list turns out longer than `longest`, the token joins the frequent class and the pass is
+   repeated, until no list is: this counts tokens that chunks see only once each.
+3. Of lists with the same members one stays.
+4. Links are sought where they can still join components: first each list's members against one
+   pivot, then all pairs of members in different components. A list whose members are in one
+   component emits nothing, so that a group of n copies costs n pairs. A task compares the parity
+   maps of lists, or of two blocks of a long list, and emits only the pairs that these allow (the maps
+   rule out nearly all below the threshold). The pairs are verified on whole sets.
 
 Texts without words (null texts too) have an empty set and link with nothing. Fewer than five words
 are one shingle. Repeated rows are copies like any others. Rows keep their number.
@@ -32,7 +38,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +48,7 @@ from heliograph.llm.graph import components
 from heliograph.llm.textscan import runs
 
 #: Tokens of a chunk: what a task holds before it sends.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Most frequent tokens that may be broadcast.
 MOST_FREQUENT = 1_000_000
 #: Most classes whose texts are picked by a broadcast.
@@ -90,32 +95,45 @@ def digests(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return size, sums
 
 
-#: Bits of the fixed part of a set's parity maps.
-HEAD = 256
+#: The least number of bits of a set's parity map.
+LEAST = 256
 
 
-def parity_maps(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For each set the parities of the tokens that fall on each bit: a head of HEAD bits for all, and a map of
-    as many bits as the set has tokens, or up to twice as many (a power of two, HEAD at least). Two maps
-    differ in no more bits than the sets do in tokens, which rules out most pairs without their sets. A
-    map's half added to its other half is the map of half the bits, so that maps of any two sets compare."""
-    bits = np.maximum(HEAD, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+def parity_maps(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each set the parities of the tokens that fall on each bit of a map of two to four bits for each
+    token (a power of two, LEAST at least). Two maps differ in no more bits than the sets do in tokens, which
+    rules out most pairs without their sets. A map's half added to its other half is the map of half the
+    bits, so that maps of any two sets compare."""
+    bits = np.maximum(LEAST, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     start = np.concatenate([[0], np.cumsum(bits)])
-    place = (h >> np.uint64(11)).astype(np.int64)
-    full = np.bincount(start[doc] + (place & (bits[doc] - 1)), minlength=start[-1]).astype(np.uint8) & 1
-    packed = np.packbits(full)
-    maps = [packed[lo // 8 : hi // 8].tobytes() for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-    head = np.bincount(doc * HEAD + (place & (HEAD - 1)), minlength=len(size) * HEAD).reshape(len(size), HEAD).astype(np.uint8) & 1
-    return np.packbits(head, axis=1), maps
+    full = np.zeros(start[-1] // 8, np.uint8)
+    place = start[doc] + ((h >> np.uint64(11)).astype(np.int64) & (bits[doc] - 1))
+    np.bitwise_xor.at(full, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    return [full[lo // 8 : hi // 8].tobytes() for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
 
 
-def differ(a: bytes, b: bytes) -> int:
-    """Bits in which two maps differ, the longer one folded."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) != len(y):
-        n = min(len(x), len(y))
-        x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
+def _rows(column: pa.Array, at: np.ndarray) -> np.ndarray:
+    """The maps at these places, which are of one length, as rows of 64-bit words."""
+    taken = column.take(pa.array(at))
+    offsets = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, 4 * taken.offset)
+    return np.frombuffer(taken.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(len(taken), -1)
+
+
+def _fold(maps: np.ndarray, words_: int) -> np.ndarray:
+    return maps if maps.shape[1] == words_ else np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words_), axis=1)
+
+
+def differ(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """For each row the bits in which two maps differ, the longer one folded."""
+    la, lb = (np.diff(np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset)) for x in (a, b))
+    out = np.zeros(len(a), np.int64)
+    for x, y in set(zip(la.tolist(), lb.tolist(), strict=True)):
+        at = np.flatnonzero((la == x) & (lb == y))
+        n = min(x, y) // 8
+        for k in range(0, len(at), step := max(1, (1 << 20) // n)):
+            part = at[k : k + step]
+            out[part] = np.bitwise_count(_fold(_rows(a, part), n) ^ _fold(_rows(b, part), n)).sum(1)
+    return out
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -133,12 +151,12 @@ def _sizes(documents: DataFrame, width: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, n_held, id_type = [], set(), 0, None
-        names = ["doc_id", "th", "n", "cls", "head", "map", "token", "times"]
+        names = ["doc_id", "th", "n", "cls", "map", "token", "times"]
 
         def counts() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True)
             token, times = token[times > 1].view(np.int64), times[times > 1]
-            none = [pa.nulls(len(token), t) for t in (id_type, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+            none = [pa.nulls(len(token), t) for t in (id_type, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, pa.array(token), pa.array(times.astype(np.int64))], names)
 
         for batch in batches:
@@ -147,8 +165,8 @@ def _sizes(documents: DataFrame, width: int) -> DataFrame:
                 doc, h = shingles(run, width)
                 size, sums = digests(doc, h, run.n)
                 cls = _binary(sums)
-                head, maps = parity_maps(doc, h, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, run.n), batch.column(1).slice(at, run.n), pa.array(size.astype(np.int64)), cls, _binary(head), pa.array(maps, pa.binary()), pa.nulls(run.n, pa.int64()), pa.nulls(run.n, pa.int64())], names)
+                maps = parity_maps(doc, h, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, run.n), batch.column(1).slice(at, run.n), pa.array(size.astype(np.int64)), cls, pa.array(maps, pa.binary()), pa.nulls(run.n, pa.int64()), pa.nulls(run.n, pa.int64())], names)
                 keys = sums[:, 0].tolist()
                 fresh = np.zeros(run.n, bool)
                 for k, key in enumerate(keys):
@@ -163,7 +181,7 @@ def _sizes(documents: DataFrame, width: int) -> DataFrame:
         if held:
             yield counts()
 
-    return texts.mapInArrow(scan, f"doc_id {kind}, th bigint, n bigint, cls binary, head binary, map binary, token bigint, times bigint")
+    return texts.mapInArrow(scan, f"doc_id {kind}, th bigint, n bigint, cls binary, map binary, token bigint, times bigint")
 
 
 def _need(n: int, percent: int) -> int:
@@ -187,21 +205,32 @@ def _size_of_class(k: int, percent: int) -> int:
     return top
 
 
-def _pairs(frequent: np.ndarray, need: int, size_class: int, percent: int) -> list[int]:
-    """Signatures of the frequent tokens (sorted) of a prefix that must still offer `need` tokens."""
-    mask = (1 << 64) - 1
+_MASK = (1 << 64) - 1
+
+
+def _combinations(tokens: np.ndarray, level: np.ndarray, need: int, size_class: int, percent: int) -> list[int]:
+    """Signatures of the tokens (in order; level: how many of one group must meet) of a prefix that must still
+    outlast the loss of need - 1 tokens."""
     top = _size_of_class(size_class, percent)
     if top < 16:
-        return [(int(t) * 0x9E3779B97F4A7C15 + size_class * 0x1000193) & mask for t in frequent[:need].tolist()]
+        return [(t * 0x9E3779B97F4A7C15 + size_class * 0x1000193) & _MASK for t in tokens[:need].tolist()]
     groups = max(1, top // 20)
-    held: dict[int, list[int]] = {}
-    for t in frequent.tolist():
+    held: dict[tuple[int, int], list[int]] = {}
+    for t, k in zip(tokens.tolist(), level.tolist(), strict=True):
         if need <= 0:
             break
-        own = held.setdefault((t >> 20) % groups, [])
-        need -= bool(own)
+        own = held.setdefault((k, (t >> 20) % groups), [])
+        need -= len(own) >= k - 1  # a group outlasts the loss of all but k - 1 of its tokens
         own.append(t)
-    return [(((a * 0x9E3779B97F4A7C15 & mask) ^ b) * 0xD6E8FEB86659FD93 + size_class * 0x1000193) & mask for own in held.values() for a, b in combinations(own, 2)]
+    out = []
+    for (k, _), own in held.items():
+        for some in combinations(own, k):
+            h = size_class * 0x1000193
+            for t in some:
+                h = ((h ^ t) * 0x9E3779B97F4A7C15 + (t >> 7)) & _MASK
+                h ^= h >> 29
+            out.append(h * 0xD6E8FEB86659FD93 & _MASK)
+    return out
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -215,13 +244,26 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _index(documents: DataFrame, frequent, width: int, percent: int, bits: int) -> DataFrame:
+def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def _cut(sig: np.ndarray, bits: int) -> np.ndarray:
+    """A rare signature as the postings show it: the 40 bits after the part's, and the part's number."""
+    return (((sig << np.uint64(bits)) >> np.uint64(24)) << np.uint64(24)) | (sig >> np.uint64(64 - bits))
+
+
+def _index(documents: DataFrame, frequent, long_lists, width: int, percent: int, bits: int) -> DataFrame:
     """Rows of two kinds. part: packed rare signatures of a chunk whose top bits are part. sig: one
-    frequent signature of a class (cls, n, rare: per mille of its tokens that are rare)."""
+    combination of a class (cls, n, rare: per mille of its tokens that are rare).
+
+    frequent: the broadcast frequent tokens, sorted, and the level (2 or 3) of each; long_lists: the broadcast
+    signatures, as _cut makes them and sorted, whose tokens are frequent too."""
     texts = documents.select(F.col("text").cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = frequent.value
+        heavy, levels = frequent.value
+        long_sigs = long_lists.value
         names = ["part", "sigs", "idx", "classes", "facts", "sig", "cls", "n", "rare"]
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         seen: set = set()
@@ -258,9 +300,15 @@ def _index(documents: DataFrame, frequent, width: int, percent: int, bits: int)
                         fresh[k] = True
                 keep = fresh[doc]
                 doc, h = doc[keep], h[keep]
-                often = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h if len(heavy) else np.zeros(len(h), bool)
-                order = np.lexsort((h, often, doc))
-                h, often = h[order], often[order]  # doc stays as it is
+                level = np.ones(len(h), np.int8)
+                if len(long_sigs):
+                    level[_is_in(_cut(mix(h), bits), long_sigs)] = 2
+                if len(heavy):
+                    at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                    level = np.where(heavy[at] == h, levels[at], level)
+                order = np.lexsort((h, level, doc))
+                h, level = h[order], level[order]  # doc stays as it is
+                often = level > 1
                 n_rare = np.bincount(doc[~often], minlength=run.n)
                 need = size - (percent * size + 99) // 100 + 1
                 rank = np.arange(len(h)) - np.searchsorted(doc, doc)
@@ -275,10 +323,10 @@ def _index(documents: DataFrame, frequent, width: int, percent: int, bits: int)
                 out_sig, out_row = [], []
                 for k in np.flatnonzero(fresh & (n_rare < need)).tolist():
                     lo = np.searchsorted(doc, k)
-                    own = h[lo + n_rare[k] : lo + size[k]]
+                    own, own_level = h[lo + n_rare[k] : lo + size[k]], level[lo + n_rare[k] : lo + size[k]]
                     own_class = _class_of(int(size[k]), percent)
                     for c in (own_class, own_class + 1):
-                        s = _pairs(own, int(need[k] - n_rare[k]), c, percent)
+                        s = _combinations(own, own_level, int(need[k] - n_rare[k]), c, percent)
                         out_sig += s
                         out_row += [k] * len(s)
                 if out_sig:
@@ -294,40 +342,46 @@ def _index(documents: DataFrame, frequent, width: int, percent: int, bits: int)
     return texts.mapInArrow(scan, "part int, sigs binary, idx binary, classes binary, facts binary, sig bigint, cls binary, n bigint, rare bigint")
 
 
-def _postings(index: DataFrame, bits: int) -> DataFrame:
-    """sig, cls, n, rare: the classes of each signature of two or more classes (rare ones), or of any (frequent ones)."""
+def _meets(s: np.ndarray) -> np.ndarray:
+    """Which of the sorted values occur more than once."""
+    many = np.zeros(len(s), bool)
+    same = s[1:] == s[:-1]
+    many[1:] |= same
+    many[:-1] |= same
+    return many
+
+
+def _postings(index: DataFrame) -> DataFrame:
+    """sig, cls, n, rare, one: the classes of each signature of two or more classes (single tokens: one), or of
+    any (combinations)."""
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(rows: pa.Table) -> pa.Table:
         sig, cls, fact = [], [], []
-        for r in rows.itertuples(index=False):
-            at = _unpack(r.idx, np.uint32)
-            sig.append(np.cumsum(_unpack(r.sigs, np.uint64), dtype=np.uint64))
-            cls.append(np.frombuffer(r.classes, np.uint64).reshape(-1, 2)[at])
-            fact.append(_unpack(r.facts, np.uint32).reshape(-1, 2)[at])
+        for p in rows.to_batches():
+            for sigs, idx, classes, facts in zip(*(p.column(k) for k in (1, 2, 3, 4)), strict=True):  # one packed chunk each
+                at = _unpack(idx.as_buffer(), np.uint32)
+                sig.append(np.cumsum(_unpack(sigs.as_buffer(), np.uint64), dtype=np.uint64))
+                cls.append(np.frombuffer(classes.as_buffer(), np.uint64).reshape(-1, 2)[at])
+                fact.append(_unpack(facts.as_buffer(), np.uint32).reshape(-1, 2)[at])
         s, c, f = np.concatenate(sig), np.concatenate(cls), np.concatenate(fact)
-        many = np.zeros(len(s), bool)
+        del sig, cls, fact
         order = np.argsort(s, kind="stable")
-        same = s[order][1:] == s[order][:-1]
-        many[order[1:]] |= same
-        many[order[:-1]] |= same
+        s, c, f = s[order], c[order], f[order]
+        many = _meets(s)
         s, c, f = s[many], c[many], f[many]
         order = np.lexsort((c[:, 1], c[:, 0], s))
         s, c, f = s[order], c[order], f[order]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1]).any(1)
         s, c, f = s[new], c[new], f[new]
-        many = np.zeros(len(s), bool)
-        same = s[1:] == s[:-1]
-        many[1:] |= same
-        many[:-1] |= same
+        many = _meets(s)
         s, c, f = s[many], c[many], f[many]
-        part = np.uint64(int(rows["part"].iloc[0])) if len(rows) else np.uint64(0)
-        full = (s << np.uint64(24)) | part if bits <= 24 else s
-        return pd.DataFrame({"sig": full.view(np.int64), "cls": [x.tobytes() for x in c], "n": f[:, 0].astype(np.int64), "rare": f[:, 1].astype(np.int64)})
+        part = np.uint64(rows.column(0)[0].as_py())
+        return pa.table([pa.array(((s << np.uint64(24)) | part).view(np.int64)), _binary(c) if len(c) else pa.nulls(0, pa.binary()), pa.array(f[:, 0].astype(np.int64)), pa.array(f[:, 1].astype(np.int64)), pa.array(np.ones(len(s), bool))], ["sig", "cls", "n", "rare", "one"])
 
-    rare = index.filter("part is not null").select("part", "sigs", "idx", "classes", "facts").groupBy("part").applyInPandas(meet, "sig bigint, cls binary, n bigint, rare bigint")
+    rare = index.filter("part is not null").select("part", "sigs", "idx", "classes", "facts").groupBy("part").applyInArrow(meet, "sig bigint, cls binary, n bigint, rare bigint, one boolean")
     often = index.filter("sig is not null").groupBy("sig", "cls").agg(F.first("n").alias("n"), F.first("rare").alias("rare"))
-    return rare.unionByName(often.select("sig", "cls", "n", "rare"))
+    return rare.unionByName(often.select("sig", "cls", "n", "rare", F.lit(False).alias("one")))
 
 
 def _sets(documents: DataFrame, classes: DataFrame, need: DataFrame, width: int) -> DataFrame:
@@ -365,21 +419,32 @@ def _verify(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: i
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for ma, mb, na, nb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                # similarity p means: common >= p total / (100 + p), so that total - 2 common differ at most
-                ok.append(differ(ma, mb) * (100 + percent) <= (na + nb) * (100 - percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            # similarity p means: common >= p total / (100 + p), so that total - 2 common differ at most
+            ok = differ(batch.column(2), batch.column(3)) * (100 + percent) <= total * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = np.zeros(batch.num_rows, bool)
+            size, data = [], []
+            for c in (batch.column(2), batch.column(3)):
+                offsets = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset).astype(np.int64)
+                size.append(np.diff(offsets) // 8)
+                data.append((np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64), (offsets - offsets[0]) // 8))
+            at = 0
+            while at < batch.num_rows:  # some pairs at once, about a million tokens
+                held = np.cumsum(size[0][at:] + size[1][at:])
+                to = at + max(1, int(np.searchsorted(held, 1 << 20, side="right")))
+                pair = np.concatenate([np.repeat(np.arange(to - at), n[at:to]) for n in size])
+                token = np.concatenate([values[start[at] : start[to]] for values, start in data])
+                order = np.lexsort((token, pair))
+                pair, token = pair[order], token[order]
+                twice = (token[1:] == token[:-1]) & (pair[1:] == pair[:-1])  # a set has a token once
+                common = np.bincount(pair[1:][twice], minlength=to - at)
+                ok[at:to] = 100 * common >= percent * (size[0][at:to] + size[1][at:to] - common)
+                at = to
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     likely = materialize(joined(pairs, classes, "map", "n").mapInArrow(near, "a binary, b binary"), "likely")
     if likely.isEmpty():
@@ -392,72 +457,121 @@ def _similar_size(x: str, y: str, percent: int) -> F.Column:
     return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
-def _across(members: DataFrame, percent: int, with_map: bool = False) -> DataFrame:
-    """Pairs a, b of members (sig, cls, n, root) of one signature in different components. Of large lists
-    only those that the heads of the parity maps allow: the join compares them and emits no other pair."""
-    words = [f"w{k}" for k in range(HEAD // 64)] if with_map else []
-    if with_map:
-        members = members.withColumns({w: F.conv(F.hex(F.substring("head", 8 * k + 1, 8)), 16, -10).cast("bigint") for k, w in enumerate(words)})
-    x, y = (members.select("sig", *(F.col(c).alias(c + side) for c in ("cls", "n", "root", *words))) for side in "xy")
-    allowed = (x["sig"] == y["sig"]) & (F.col("rootx") < F.col("rooty")) & _similar_size("nx", "ny", percent)
-    if with_map:
-        apart = F.lit(0)
-        for w in words:
-            apart = apart + F.bit_count(F.col(w + "x").bitwiseXOR(F.col(w + "y")))
-        allowed = allowed & (apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent))
-    return x.join(y, allowed).select(F.col("clsx").alias("a"), F.col("clsy").alias("b"))
-
-
-def links(documents: DataFrame, width: int = 5, percent: int = 80, heavy: int = 64, rounds: int = 1, large: int = 64) -> tuple[DataFrame, DataFrame]:
+#: Members, and bytes of parity maps, of a block.
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
+
+
+def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs a, b of members (sig, cls, n, root, map) of one list in different components, as far as their
+    parity maps allow. Lists of one block share tasks; a longer list is dealt into blocks by hash, and a task
+    compares the members of two blocks. Nothing but the allowed pairs leaves a task."""
+    size = members.groupBy("sig").agg(F.count("*").alias("m"), F.sum(F.length("map")).alias("bytes"))
+    size = materialize(size.select(F.col("sig").alias("of"), "bytes", F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "list_sizes")
+    shared = size.filter("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
+    rows = members.join(size.drop("bytes"), F.col("sig") == F.col("of"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("sig"), F.lit(-(-shared // BLOCK_BYTES) + 1))).otherwise(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")))
+    rows = rows.select(task.alias("task"), "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "root", "map")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        _, sig, i, j, own, cls, n, root, maps = (c.chunk(0) for c in rows.columns)
+        n, own, i, j = n.to_numpy(), own.to_numpy(), i.to_numpy(), j.to_numpy()
+        code = root.dictionary_encode().indices.to_numpy()
+        width = np.diff(np.frombuffer(maps.buffers()[1], np.int32, len(maps) + 1, 4 * maps.offset)) // 8
+        order = np.lexsort((width, j, i, sig.to_numpy()))
+        key = np.stack([sig.to_numpy(), i, j])[:, order]
+        starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+        place = np.zeros(len(n), np.int64)
+        mats = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            place[at] = np.arange(len(at))
+            mats[w] = _rows(maps, at)
+        found = [np.zeros((0, 2), np.int64)]
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            mine = order[lo:hi]
+            first, last = i[mine[0]], j[mine[0]]
+            cut = np.flatnonzero(np.diff(width[mine])) + 1
+            runs_ = np.split(mine, cut)
+            for x in runs_:
+                for y in runs_:
+                    wx, wy = int(width[x[0]]), int(width[y[0]])
+                    if first == last and wx > wy or max(wx, wy) > 2 * min(wx, wy):
+                        continue
+                    a, b = (x, y) if first == last else (x[own[x] == first], y[own[y] == last])
+                    if not (len(a) and len(b)):
+                        continue
+                    w = min(wx, wy)
+                    my = _fold(mats[wy][place[b]], w)
+                    for k in range(0, len(a), step := max(1, (1 << 20) // (len(b) * w))):
+                        part = a[k : k + step]
+                        apart = np.bitwise_count(_fold(mats[wx][place[part]], w)[:, None, :] ^ my[None, :, :]).sum(2)
+                        na, nb = n[part][:, None], n[b][None, :]
+                        ok = (apart * (100 + percent) <= (na + nb) * (100 - percent)) & (code[part][:, None] != code[b][None, :])
+                        ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+                        if x is y and first == last:
+                            ok &= part[:, None] < b[None, :]
+                        if ok.any():
+                            p, q = np.nonzero(ok)
+                            found.append(np.stack([part[p], b[q]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table([cls.take(pa.array(pairs[:, 0])), cls.take(pa.array(pairs[:, 1]))], ["a", "b"])
+
+    both = rows.groupBy("task").applyInArrow(compare, "a binary, b binary")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _lists(documents: DataFrame, frequent, total: int, width: int, percent: int, longest: int) -> DataFrame:
+    """The postings, one list for each set of members."""
+    spark = documents.sparkSession
+    # about 250 000 rare signatures a part
+    bits = min(24, max(6, int(np.ceil(np.log2(max(1, total * (101 - percent) / 100 / 250_000))))))
+    known = np.zeros(0, np.uint64)
+    while True:
+        index = materialize(_index(documents, frequent, spark.sparkContext.broadcast(known), width, percent, bits), "prefixes")
+        postings = materialize(_postings(index), "postings")
+        marks = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+        lists = materialize(postings.groupBy("sig").agg(F.count("*").alias("members"), F.bool_or("one").alias("one"), *marks).filter("members > 1"), "lists")
+        room = MOST_FREQUENT - len(known)
+        long = lists.filter(F.col("one") & (F.col("members") > longest)).orderBy(F.col("members").desc(), "sig").limit(max(0, room)).select("sig").toArrow()
+        if not len(long):
+            kept = lists.groupBy("members", "mark0", "mark1").agg(F.min("sig").alias("sig")).select("sig")
+            return materialize(postings.join(kept, "sig", "left_semi").select("sig", "cls", "n", "rare"), "postings")
+        known = np.union1d(known, long.column("sig").to_numpy().view(np.uint64))
+
+
+def links(documents: DataFrame, width: int = 5, percent: int = 80, heavy: int = 64, longest: int = 1024, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """sizes (doc_id, th, n, cls) of all documents, and roots (node, root) of the classes that are linked."""
     spark = documents.sparkSession
     scanned = materialize(_sizes(documents, width), "sizes")
-    sizes = scanned.filter("th is not null and token is null").select("doc_id", "th", "n", F.expr("if(n > 0, cls, null)").alias("cls"), "head", "map")
+    sizes = scanned.filter("th is not null and token is null").select("doc_id", "th", "n", F.expr("if(n > 0, cls, null)").alias("cls"), "map")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    least = max(heavy, total // MOST_FREQUENT)
-    often = scanned.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("token").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(often.column("token").to_numpy().view(np.uint64)))
-    # about 2 million rare signatures a part
-    bits = max(4, int(np.ceil(np.log2(max(1, total * (101 - percent) / 100 / 2_000_000)))))
-    index = materialize(_index(documents, frequent, width, percent, bits), "prefixes")
-    postings = materialize(_postings(index, bits), "postings")
-    classes = materialize(sizes.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("head").alias("head"), F.first("map").alias("map")), "class_facts")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    edges = None
-    for k in range(rounds + 1):
-        known = F.broadcast(roots) if roots.count() <= MOST_FREQUENT else roots
-        now = postings.join(known, postings["cls"] == known["node"], "left").select("sig", "cls", "n", "rare", F.coalesce("root", "cls").alias("root"))
-        now = materialize(now, "members")
-        # the first pivot is the member with the fewest tokens of its own, later ones are by chance
-        rank = F.struct("rare", "cls", "n", "root") if k == 0 else F.struct(F.xxhash64("root", F.lit(k)).alias("rank"), "cls", "n", "root")
-        lists = now.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(rank).alias("pivot"), F.count("*").alias("members")).filter("lo <> hi").select("sig", "pivot", "members")
-        lists = materialize(lists, "open_lists")
-        if lists.isEmpty():
-            break
-        if k and k < rounds:
-            many = lists.filter(F.col("members") > large)
-            if many.isEmpty():
-                k = rounds
-            else:
-                lists = many
-        if k < rounds:
-            met = now.join(lists, "sig").filter(F.col("root") != F.col("pivot.root")).filter(_similar_size("n", "pivot.n", percent))
-            pairs = met.select(F.col("pivot.cls").alias("a"), F.col("cls").alias("b"))
-        else:
-            # what is left: all pairs across components
-            mine = materialize(now.join(lists.select("sig", "members"), "sig"), "open_members")
-            pairs = _across(mine.filter(F.col("members") <= large), percent)
-            big = mine.filter(F.col("members") > large)
-            if not big.isEmpty():
-                pairs = pairs.unionByName(_across(big.join(classes.select("cls", "head"), "cls"), percent, with_map=True))
-        pairs = materialize(pairs.distinct(), "pairs")
-        fresh = _verify(pairs, documents, classes, width, percent)
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        if not fresh.isEmpty():
-            roots = materialize(components(edges), "roots")
-        if k == rounds:
-            break
-    return sizes.drop("head", "map"), roots
+    often = scanned.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= heavy)
+    often = often.orderBy(F.col("times").desc(), "token").limit(MOST_FREQUENT).toArrow()
+    token = often.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    level = np.where(often.column("times").to_numpy() >= heavy * heavy, 3, 2).astype(np.int8)
+    frequent = spark.sparkContext.broadcast((token[order], level[order]))
+    postings = _lists(documents, frequent, total, width, percent, longest)
+    classes = materialize(sizes.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("map").alias("map")), "class_facts")
+    # first each list's members against its pivot, the member with the fewest tokens of its own
+    pivot = F.min(F.struct("rare", "cls", "n")).alias("pivot")
+    met = postings.join(postings.groupBy("sig").agg(pivot), "sig").filter((F.col("cls") != F.col("pivot.cls")) & _similar_size("n", "pivot.n", percent))
+    pairs = materialize(met.select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")).distinct(), "pairs")
+    edges = _verify(pairs, documents, classes, width, percent)
+    roots = materialize(components(edges), "roots")
+    # then all pairs across components
+    few = roots.count() <= MOST_FREQUENT
+    now = postings.join(F.broadcast(roots) if few else roots, postings["cls"] == roots["node"], "left").select("sig", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    now = materialize(now, "members")
+    lists = now.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
+    mine = materialize(now.join(lists, "sig"), "open_members")
+    pairs = _across(mine.join(classes.select("cls", "map"), "cls"), percent, block)
+    fresh = _verify(materialize(pairs.distinct(), "pairs"), documents, classes, width, percent)
+    if not fresh.isEmpty():
+        roots = materialize(components(edges.unionByName(fresh)), "roots")
+    return sizes.drop("map"), roots
 
 
 def components_of(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

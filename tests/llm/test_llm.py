@@ -93,10 +93,62 @@ def test_keep_one_by_row(spark):
 
 
 def test_small_heavy_prefixes(docs):
-    """With all repeated tokens in the frequent class the pairs' path gives the same components."""
+    """Whatever tokens count as frequent, and however lists are cut, the components are the same."""
     sizes, roots = jaccard.links(docs, heavy=2)
     plain = {frozenset(g) for g in _groups(jaccard.links(docs)[1])}
     assert {frozenset(g) for g in _groups(roots)} == plain and sizes.count() == docs.count()
+    for options in ({"longest": 2}, {"block": 4}, {"heavy": 2, "longest": 3, "block": 3}):
+        assert {frozenset(g) for g in _groups(jaccard.links(docs, **options)[1])} == plain, options
+
+
+def test_jaccard_of_a_group_about_the_threshold(spark):
+    """300 versions of one text, most pairs of them just below or above the threshold, against brute force."""
+    r = random.Random(11)
+    base = words(r, 150, 9000).split()
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for _ in range(r.randrange(1, 6)):
+            w[r.randrange(len(w))] = f"y{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(300))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(300):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {k: find(k) for k in range(300)}
+    assert 20 < len(set(want.values())) < 280
+    assert {x.doc_id: x.component_id for x in jaccard.components_of(df).collect()} == want
+    _, roots = jaccard.links(df, heavy=4, block=64)
+    assert {len(g) for g in _groups(roots)} == {n for n in Counter(want.values()).values() if n > 1}
+
+
+def test_combinations_meet():
+    """Sets at the threshold share a single token or a combination, for any classes of their tokens."""
+    r = np.random.default_rng(3)
+    for n in (12, 20, 60, 200):
+        for _ in range(40):
+            common = r.integers(0, 2**63, n, dtype=np.uint64)
+            lost = n - (80 * n + 99) // 100
+            own = r.integers(0, 2**63, (2, lost), dtype=np.uint64)
+            level_of = lambda t: 2 + ((t >> np.uint64(5)) % np.uint64(2)).astype(np.int8)
+            keys = []
+            for k in range(2):
+                t = np.concatenate([common[: n - lost], own[k]])
+                level = level_of(t)
+                order = np.lexsort((t, level))
+                size_class = jaccard._class_of(n, 80)
+                keys.append({s for c in (size_class, size_class + 1) for s in jaccard._combinations(t[order], level[order], lost + 1, c, 80)})
+            assert keys[0] & keys[1]
 
 
 def _groups(roots):
