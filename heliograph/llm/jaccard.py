@@ -461,17 +461,20 @@ def _similar_size(x: str, y: str, percent: int) -> F.Column:
 BLOCK, BLOCK_BYTES = 1024, 2 << 20
 
 
-def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs a, b of members (sig, cls, n, root, map) of one list in different components, as far as their
-    parity maps allow. Lists of one block share tasks; a longer list is dealt into blocks by hash, and a task
-    compares the members of two blocks. Nothing but the allowed pairs leaves a task."""
-    size = members.groupBy("sig").agg(F.count("*").alias("m"), F.sum(F.length("map")).alias("bytes"))
+def _across(members: DataFrame, maps: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs a, b of members (sig, cls, n, root) of one list in different components, as far as their parity
+    maps (cls, map) allow. Lists of one block share tasks; a longer list is dealt into blocks by hash, and a
+    task compares the members of two blocks. Nothing but the allowed pairs leaves a task. The maps join last,
+    so that they move once."""
+    width = F.greatest(F.lit(LEAST // 8), F.pow(F.lit(2), F.ceil(F.log2("n")) - 2))
+    size = members.groupBy("sig").agg(F.count("*").alias("m"), F.sum(width).cast("long").alias("bytes"))
     size = materialize(size.select(F.col("sig").alias("of"), "bytes", F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "list_sizes")
     shared = size.filter("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
     rows = members.join(size.drop("bytes"), F.col("sig") == F.col("of"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("sig"), F.lit(-(-shared // BLOCK_BYTES) + 1))).otherwise(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")))
-    rows = rows.select(task.alias("task"), "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "root", "map")
+    rows = rows.select(task.alias("task"), "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "root")
+    rows = rows.join(maps, "cls").select("task", "sig", "i", "j", "own", "cls", "n", "root", "map")
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -567,7 +570,7 @@ def links(documents: DataFrame, width: int = 5, percent: int = 80, heavy: int =
     now = materialize(now, "members")
     lists = now.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
     mine = materialize(now.join(lists, "sig"), "open_members")
-    pairs = _across(mine.join(classes.select("cls", "map"), "cls"), percent, block)
+    pairs = _across(mine, classes.select("cls", "map"), percent, block)
     fresh = _verify(materialize(pairs.distinct(), "pairs"), documents, classes, width, percent)
     if not fresh.isEmpty():
         roots = materialize(components(edges.unionByName(fresh)), "roots")
