@@ -5,20 +5,28 @@ that fails is dropped without retry. Possessive quantifiers keep each search lin
 recursion on very long runs; they match the same text. Positions are code points: the text is split by
 the same expression, and each match starts after the pieces and matches before it.
 
-The bootstrap: every token with a digit, or standing for a base match, is an instance; the words
-beside it are its patterns (`L:word` before, `R:word` after, A-Z folded, without punctuation). Seeds are
-the base matches. A pattern's trust is the mean score of its occurrences, with `doubt` doubtful ones
-added. An occurrence counts by the larger trust of its two patterns, of those with `support` occurrences
-or more; an occurrence without such a pattern says nothing for or against. An instance's score is the
-mean over its occurrences that count, and 1 for a seed. After `rounds` passes of scores, instances that
-reach the bar become seeds, and so on until none is added. Unseen identifiers (kind `id`) are all
-occurrences of these instances, and of any token beside a pattern that is itself confident, as long as
-they do not overlap a base match. The bar leaves 1 - `confident` of the share of occurrences that are no
-seeds: where most tokens with a digit are seeds, any frequent word stands beside seeds and proves nothing.
-
-The passes between additions are few on purpose: unknown tokens score by the patterns that they score,
-so at the fixed point a pattern of n seeds has trust n / (n + doubt) however many unknown tokens it has,
-and nine seeds would do for any word.
+The bootstrap reads a text as pieces: runs without white space, cut after `=` and `:`. A piece is what its
+enclosing punctuation leaves (its core, a candidate identifier) between a lead and a trail; its patterns are
+`L1` (the piece before, and the lead), `L2` (two pieces before), `R1` and `R2` (trail and the pieces
+after), with A-Z folded, digits as 0 and punctuation kept.
+
+1. Seeds are the base matches, and hexadecimal runs of 32 digits or more, which are no identifiers by form
+   alone: they are reported only where their context says so. Their patterns with `support` uses or more go on.
+2. A pass over all texts counts how often these patterns occur beside any piece whatever. A pattern's trust
+   is the sum of the squared scores of the instances in its uses, over all its occurrences and `doubt` more: a frequent
+   word stands beside a seed by chance only, and has next to none. Patterns of less than `least` are dropped.
+3. A second pass collects the other patterns' occurrences: the graph of patterns and instances. An
+   instance's score is 1 for a seed, else the mean over its occurrences in the graph of the best trust
+   there; places without such a pattern say nothing. After `rounds` passes of trust and scores, instances
+   of `confident` or more become seeds, and so on until none is added.
+4. New seeds are looked up in all texts, and their contexts go through the same steps, until there are none.
+
+Unseen identifiers (kind `id`) are all occurrences of found instances, and every core beside a pattern whose
+trust is confident, as long as they do not overlap a base match. Ties do not matter: all scores are thresholds.
+
+Unknown cores score by the patterns that they score in turn. So in a pattern's sum they count by the square
+of their score, and the passes between additions are few: a pattern becomes confident by itself only if
+about seven in ten of its occurrences are seeds.
 
 A null text is empty. Texts without matches have empty spans. Repeated rows each get their own result.
 """
@@ -38,7 +46,13 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 ORDER = ("email", "ip", "card", "phone", "id")
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: A piece with the white space after it, and what encloses an identifier.
+PIECE = r"[^\x20\x09-\x0D=:]*+[=:]*+[\x20\x09-\x0D]*+"
+LEAD = r"""^["'()\[\]{}<>,;!?|*`#]*"""
+TRAIL = r"""["'()\[\]{}<>,;!?|*`#.=:]*$"""
+#: Seeds that only their context makes identifiers.
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
+SMALL = 500_000
 SPAN = "array<struct<start:bigint,stop:bigint,match:string>>"
 
 
@@ -59,25 +73,29 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def running(lengths: Column, block: int = 256) -> Column:
+    """For an array of lengths the sum of those before each: in blocks, as an array grown by one copies itself."""
+    zero = F.lit(0).cast("long")
+
+    def walk(values: Column, start: Column) -> Column:
+        return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
+    first = walk(F.transform(blocks, lambda x: F.aggregate(x, zero, lambda s, v: s + v)), zero)
+    return F.when(F.size(lengths) > 0, F.flatten(F.zip_with(blocks, first, walk))).otherwise(F.array().cast("array<bigint>"))
+
+
 def _add_spans(rows: DataFrame, regex: str, name: str, hint: str) -> DataFrame:
-    """Adds name: start, stop and text of each match of regex in t (null where t lacks the hint).
+    """Adds name: start, stop and text of each match of regex in t (none where t lacks the hint).
 
     In steps, each a column, so that no lambda builds its array anew."""
     has = F.col("t").rlike(hint)
     rows = rows.withColumn("_m", F.when(has, F.regexp_extract_all("t", F.lit(regex), F.lit(0))))
-    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.split("t", regex, -1)))
-    both = F.zip_with("_p", "_m", lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), m.alias("match")))
-    empty = F.array().cast(SPAN)
-    walk = F.aggregate(
-        both,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.coalesce(x["len"], F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("stop"), x["match"].alias("match"))))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return rows.withColumn(name, F.coalesce(F.when(F.size("_m") > 0, walk), empty)).drop("_m", "_p")
+    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.transform(F.slice(F.split("t", regex, -1), F.lit(1), F.size("_m")), lambda p: F.length(p).cast("long"))))
+    rows = rows.withColumn("_w", F.when(F.size("_m") > 0, F.zip_with("_p", "_m", lambda p, m: p + F.length(m))))
+    rows = rows.withColumn("_o", F.when(F.size("_m") > 0, F.zip_with(running(F.col("_w")), "_p", lambda o, p: o + p)))
+    found = F.zip_with("_o", "_m", lambda o, m: F.struct(o.alias("start"), (o + F.length(m)).alias("stop"), m.alias("match")))
+    return rows.withColumn(name, F.coalesce(F.when(F.size("_m") > 0, found), F.array().cast(SPAN))).drop("_m", "_p", "_w", "_o")
 
 
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
@@ -101,83 +119,210 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def _word(text: Column, last: bool) -> Column:
-    found = F.regexp_extract(text, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$" if last else r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-    return F.lower(F.regexp_replace(found, r"^[\p{Punct}]+|[\p{Punct}]+$", ""))
+def _held(rows: DataFrame) -> DataFrame:
+    """The same rows, each built once: what follows is neither merged with what stands before (which would
+    evaluate it again for each use) nor pushed below it."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
 
 
-def _instances(rows: DataFrame, reach: int = 80) -> DataFrame:
-    """Adds inst: tokens with a digit that overlap no base match, and base matches, each with the word
-    before and the word after (looked for within `reach` code points)."""
-    rows = _add_spans(rows, TOKEN, "tokens", "[0-9]")
-    free = F.filter("tokens", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    marks = F.concat(
-        F.transform("base", lambda b: F.struct(b["start"], b["stop"], b["match"], F.lit(True).alias("seed"))),
-        F.transform(free, lambda x: F.struct(x["start"], x["stop"], x["match"], F.lit(False).alias("seed"))),
-    )
-    rows = rows.withColumn("_marks", marks)
-    near = F.transform(
-        "_marks",
-        lambda x: F.struct(
-            x["start"], x["stop"], x["match"], x["seed"],
-            _word(F.substring("t", F.greatest(x["start"] - reach, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(reach)).cast("int")), True).alias("before"),
-            _word(F.substring("t", x["stop"].cast("int") + 1, F.lit(reach)), False).alias("after"),
-        ),
+_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789"
+_TO = "abcdefghijklmnopqrstuvwxyz000000000"
+
+
+def _folded(text: Column) -> Column:
+    """A-Z folded and digits as 0; no length changes."""
+    return F.translate(text, _FROM, _TO)
+
+
+def _trimmed(piece: Column) -> Column:
+    return F.regexp_replace(piece, r"[\x20\x09-\x0D]+$", "")
+
+
+def _patterns(lead: Column, before: Column, before2: Column, trail: Column, after: Column, after2: Column) -> Column:
+    """The patterns of one place, as texts; null where it has no such piece. Arguments: folded and trimmed."""
+    l1, r1 = F.concat_ws("\t", before, lead), F.concat_ws("\t", trail, after)
+    return F.array(
+        F.when(before != "", F.concat(F.lit("L1\t"), l1)), F.when((before != "") & (before2 != ""), F.concat(F.lit("L2\t"), before2, F.lit("\t"), l1)),
+        F.when(after != "", F.concat(F.lit("R1\t"), r1)), F.when((after != "") & (after2 != ""), F.concat(F.lit("R2\t"), r1, F.lit("\t"), after2)),
+    )
+
+
+def _places(rows: DataFrame, seeds: str, reach: int = 120) -> DataFrame:
+    """match, anchors (the pieces beside it) and patterns of each of the spans in `seeds`, one row each. A piece
+    that begins or ends beyond `reach` code points is none."""
+    each = rows.filter(F.size(seeds) > 0).select("t", F.explode(seeds).alias("x")).select(
+        "x.match",
+        _folded(F.substring("t", F.greatest(F.col("x.start") - reach, F.lit(0)).cast("int") + 1, F.least("x.start", F.lit(reach)).cast("int"))).alias("b"), (F.col("x.start") > reach).alias("cut_b"),
+        _folded(F.substring("t", F.col("x.stop").cast("int") + 1, F.lit(reach))).alias("a"), (F.length("t") - F.col("x.stop") > reach).alias("cut_a"),
     )
-    return rows.withColumn("inst", F.when(F.size("_marks") > 0, near)).drop("tokens", "_marks")
-
-
-def discover(instances: DataFrame, rounds: int = 3, confident: float = 0.9, support: int = 5, doubt: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """match: the identifiers that the patterns around seeds find; and pattern: the confident patterns.
-
-    instances: match, seed, before, after; one row per occurrence. Occurrences are first summed, so that
-    a frequent token is one row for each pair of words beside it."""
-    sides = {"l": F.when(F.length("before") > 0, F.concat(F.lit("L:"), "before")), "r": F.when(F.length("after") > 0, F.concat(F.lit("R:"), "after"))}
-    uses = instances.select("match", "seed", *(c.alias(k) for k, c in sides.items())).groupBy("match", "l", "r").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    uses = materialize(uses, "pii_uses")
-    edges = materialize(uses.select("match", "n", F.explode(F.array("l", "r")).alias("pattern")).filter("pattern is not null").groupBy("pattern", "match").agg(F.sum("n").alias("n")), "pii_edges")
-    # a pattern of too few occurrences never counts
-    total = edges.groupBy("pattern").agg(F.sum("n").alias("uses")).filter(F.col("uses") >= support)
-    edges = materialize(edges.join(total.select(F.col("pattern").alias("of")), F.col("pattern") == F.col("of"), "left_semi"), "pii_edges")
-    seeds = materialize(uses.groupBy("match").agg(F.max("seed").alias("fixed")), "pii_seeds")
-    found = seeds.filter("false").select("match")
-    base = uses.agg(F.sum(F.col("n") * F.col("seed").cast("int")) / F.sum("n")).first()[0] or 0.0
-    bar = 1 - (1 - confident) * (1 - base)
+    each = _held(each)
+    every = lambda c: F.filter(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)), lambda p: p != "")
+    each = _held(each.withColumns({"b": every("b"), "a": every("a")}))
+    each = each.withColumns({"b": F.when(F.col("cut_b"), F.slice("b", F.lit(2), F.greatest(F.size("b") - 1, F.lit(0)))).otherwise(F.col("b")), "a": F.when(F.col("cut_a"), F.slice("a", F.lit(1), F.greatest(F.size("a") - 1, F.lit(0)))).otherwise(F.col("a"))})
+    each = _held(each)
+    open_ = F.coalesce(F.get("b", F.size("b") - 1), F.lit("")).rlike(r"[^\x20\x09-\x0D=:]\z")
+    each = each.withColumn("lead", F.when(open_, F.get("b", F.size("b") - 1)).otherwise("")).withColumn("last", F.size("b") - 1 - open_.cast("int"))
+    each = _held(each)
+    piece = lambda c, i: F.coalesce(_trimmed(F.get(c, i)), F.lit(""))
+    before, before2, after, after2 = piece("b", F.col("last")), piece("b", F.col("last") - 1), piece("a", F.lit(1)), piece("a", F.lit(2))
+    each = _held(each.select("match", "lead", before.alias("before"), before2.alias("before2"), piece("a", F.lit(0)).alias("trail"), after.alias("after"), after2.alias("after2")))
+    return each.select("match", F.array("before").alias("left"), F.array("after").alias("right"), _patterns(*(F.col(c) for c in ("lead", "before", "before2", "trail", "after", "after2"))).alias("patterns"))
+
+
+def _hit(hashes: list[int], value: Column) -> Column:
+    """Is the bit of this text set in the table of the hashes."""
+    table, power = _bitmap(hashes)
+    h = F.xxhash64(value)
+    return F.call_function("bit_get", F.get(table, F.shiftrightunsigned(h, 64 - power).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _scan(texts: DataFrame, keep: Column | None, *ids: str) -> DataFrame:
+    """ids and every piece that `keep` (over the arrays c, of folded and trimmed pieces, and p, of the pieces, and
+    the place i) allows: its place, core, lead, trail and patterns."""
+    rows = _held(texts.select(*ids, "t", F.regexp_extract_all("t", F.lit(PIECE), F.lit(0)).alias("p")))
+    rows = rows.withColumn("c", F.split(F.regexp_replace(_folded(F.array_join("p", "\x00")), r"[\x20\x09-\x0D]+(?=\x00|\z)", ""), "\x00"))
+    every = F.sequence(F.lit(0), F.size("p") - 1)
+    rows = _held(_held(rows).withColumn("i", every if keep is None else F.filter(every, keep)))
+    return rows.filter(F.size("i") > 0)
+
+
+def _bitmap(hashes: list[int]) -> tuple[Column, int]:
+    """A table of bits, one set for each hash, as one constant, and the number of its words as a power of two."""
+    power = min(16, max(6, len(hashes).bit_length()))
+    table = [0] * (1 << power)
+    for h in hashes:
+        u = h & (2**64 - 1)
+        table[u >> (64 - power)] |= 1 << (u & 63)
+    return F.split(F.lit(",".join(str(x - 2**64 if x >= 2**63 else x) for x in table)), ",").cast("array<bigint>"), power
+
+
+def _anchored(patterns: DataFrame, small: int):
+    """A test of a place for the pieces beside it that these patterns name (left, right: the piece next to the
+    instance), and how to bound the patterns; neither if there are more than `small`."""
+    if patterns.count() > small:
+        return None, lambda df: df
+    sides = {}
+    for side in ("left", "right"):
+        sides[side] = [r.h for r in patterns.filter(F.col("side") == side).select(F.xxhash64("anchor").alias("h")).distinct().collect()]
+
+    def keep(i: Column) -> Column:
+        return _hit(sides["left"], F.get("c", i - 1)) | _hit(sides["right"], F.get("c", i + 1))
+
+    return keep, F.broadcast
+
+
+def _contexts(places: DataFrame) -> DataFrame:
+    """match, pattern, side and anchor of each use."""
+    each = places.select("match", "left", "right", F.posexplode("patterns").alias("k", "pattern")).filter("pattern is not null")
+    return each.select("match", "pattern", F.when(F.col("k") < 2, "left").otherwise("right").alias("side"), F.when(F.col("k") < 2, F.get("left", F.lit(0))).otherwise(F.get("right", F.lit(0))).alias("anchor"))
+
+
+def _around(rows: DataFrame, *columns: str) -> DataFrame:
+    """Of a scan: one row for each place, with lead, core, trail and patterns."""
+    at = lambda k: F.coalesce(F.when(F.col("x") + k >= 0, F.get("c", F.col("x") + k)), F.lit(""))
+    each = rows.select(*columns, F.explode("i").alias("x"), "c")
+    each = each.select(*columns, "x", at(-2).alias("b2"), at(-1).alias("b1"), at(0).alias("own"), at(1).alias("a1"), at(2).alias("a2"))
+    each = _held(_held(each).withColumns({"lead": F.regexp_extract("own", LEAD, 0), "trail": F.regexp_extract("own", TRAIL, 0)}))
+    return each.filter(F.length("own") > F.length("lead") + F.length("trail")).withColumn("patterns", _patterns(F.col("lead"), F.col("b1"), F.col("b2"), F.col("trail"), F.col("a1"), F.col("a2")))
+
+
+def _occurrences(texts: DataFrame, keep, *ids: str) -> DataFrame:
+    """ids, start, stop, match and patterns of the cores at the places that `keep` allows."""
+    rows = _scan(texts, keep, *ids).withColumn("w", F.transform("p", lambda p: F.length(p).cast("long")))
+    rows = _held(_held(rows).withColumn("o", running(F.col("w"))))
+    rows = _around(rows, *ids, "t", "o")
+    start = F.get("o", F.col("x")) + F.length("lead")
+    size = F.length("own") - F.length("lead") - F.length("trail")
+    return rows.select(*ids, start.alias("start"), (start + size).alias("stop"), F.substring("t", start.cast("int") + 1, size).alias("match"), "patterns")
+
+
+def discover(texts: DataFrame, places: DataFrame, *ids: str, rounds: int = 3, confident: float = 0.9, support: int = 5, least: float = 0.1, doubt: float = 1.0, small: int = SMALL) -> DataFrame:
+    """ids, start, stop and match of every identifier that the contexts of the seeds lead to (they may overlap
+    base matches). texts: ids and t; places: the seeds' uses."""
+    seeds = materialize(places.select("match").distinct(), "pii_seeds")
+    uses = materialize(_contexts(places), "pii_uses")
+    known = None  # patterns with their totals
+    out = None
     while True:
-        score = seeds.select("match", "fixed", F.col("fixed").cast("double").alias("score"))
-        for _ in range(rounds):
-            scored = edges.join(score.select(F.col("match").alias("of"), "score"), F.col("match") == F.col("of"))
-            trust = materialize(scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + doubt)).alias("trust")), "pii_patterns")
-            left, right = (trust.select(F.col("pattern").alias(f"{k}p"), F.col("trust").alias(f"{k}t")) for k in "lr")
-            seen = uses.join(left, F.col("l") == F.col("lp"), "left").join(right, F.col("r") == F.col("rp"), "left").withColumn("best", F.greatest("lt", "rt"))
-            seen = seen.filter("best is not null").groupBy("match").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("mean"))
-            score = seeds.join(seen.select(F.col("match").alias("of"), "mean"), F.col("match") == F.col("of"), "left")
-            score = materialize(score.select("match", "fixed", F.when(F.col("fixed"), F.lit(1.0)).otherwise(F.coalesce("mean", F.lit(0.0))).alias("score")), "pii_scores")
-        fresh = materialize(score.filter(~F.col("fixed") & (F.col("score") >= bar)).select("match"), "pii_fresh")
-        sure = trust.filter(F.col("trust") >= bar).select("pattern")
+        fresh = uses.groupBy("pattern", "side", "anchor").agg(F.count("*").alias("seen")).filter(F.col("seen") >= support)
+        if known is not None:
+            fresh = fresh.join(known.select("pattern"), "pattern", "left_anti")
+        fresh = materialize(fresh.select("pattern", "side", "anchor"), "pii_fresh")
         if fresh.isEmpty():
-            return found, materialize(sure, "pii_sure")
-        found = materialize(found.unionByName(fresh), "pii_found")
-        seeds = materialize(score.select("match", (F.col("fixed") | (F.col("score") >= bar)).alias("fixed")), "pii_seeds")
+            break
+        keep, bounded = _anchored(fresh, small)
+        met = _around(_scan(texts, keep, *ids)).select(F.explode("patterns").alias("pattern")).filter("pattern is not null")
+        total = met.join(bounded(fresh.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+        counted = fresh.join(total, "pattern", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+        known = materialize(counted if known is None else known.unionByName(counted), "pii_patterns")
+        # a pattern may gain by instances yet unknown, but only from a share of seeds of its own
+        own = uses.groupBy("pattern").agg(F.count("*").alias("seen"))
+        live = materialize(known.join(own, "pattern").filter(F.col("seen") >= F.lit(least) * (F.col("total") + doubt)).select("pattern", "side", "anchor", F.greatest("total", "seen").alias("total")), "pii_live")
+        if live.isEmpty():
+            break
+        keep, bounded = _anchored(live, small)
+        spots = _occurrences(texts, keep, *ids).withColumn("_n", F.monotonically_increasing_id())
+        spots = spots.select(*ids, "_n", "start", "stop", "match", F.explode("patterns").alias("pattern")).filter("pattern is not null")
+        spots = materialize(spots.join(bounded(live.select("pattern")), "pattern", "left_semi"), "pii_spots")
+        # seeds that are no pieces (a phone number of several) are uses of their patterns as well
+        edges = spots.groupBy("pattern", "match").agg(F.count("*").alias("n"))
+        outer = uses.join(seeds, "match", "left_semi").groupBy("pattern", "match").agg(F.count("*").alias("n")).join(edges.select("pattern", "match"), ["pattern", "match"], "left_anti").join(live.select("pattern"), "pattern", "left_semi")
+        edges = materialize(edges.unionByName(outer), "pii_edges")
+        # the occurrences of one instance with the same patterns count together
+        together = materialize(spots.groupBy("_n", "match").agg(F.sort_array(F.collect_set("pattern")).alias("set")).groupBy("match", "set").agg(F.count("*").alias("n")).withColumn("g", F.monotonically_increasing_id()), "pii_together")
+        sides = together.select("match", "n", "g", F.explode("set").alias("pattern"))
+        started = seeds
+        while True:
+            score = seeds.select("match", F.lit(1.0).alias("score"))
+            for _ in range(rounds):
+                trust = edges.join(score, "match").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score") * F.col("score")).alias("s"))
+                trust = materialize(live.join(trust, "pattern").select("pattern", (F.least("s", "total") / (F.col("total") + doubt)).alias("trust")), "pii_trust")
+                best = sides.join(trust, "pattern").groupBy("g", "match", "n").agg(F.max("trust").alias("best"))
+                mean = best.groupBy("match").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("score"))
+                score = materialize(mean.join(seeds, "match", "left_anti").unionByName(seeds.select("match", F.lit(1.0).alias("score"))), "pii_scores")
+            added = materialize(score.filter(F.col("score") >= confident).select("match").join(seeds, "match", "left_anti"), "pii_added")
+            if added.isEmpty():
+                break
+            seeds = materialize(seeds.unionByName(added), "pii_seeds")
+        sure = spots.join(trust.filter(F.col("trust") >= confident).select("pattern"), "pattern", "left_semi").select(*ids, "start", "stop", "match").distinct()
+        out = materialize(sure if out is None else out.unionByName(sure), "pii_sure")
+        new = materialize(seeds.join(started, "match", "left_anti"), "pii_new")
+        if new.isEmpty():
+            break
+        # all occurrences of the new seeds, wherever they stand
+        if new.count() <= small:
+            hashes = [r.h for r in new.select(F.xxhash64(_folded(F.col("match"))).alias("h")).distinct().collect()]
+            core = lambda i: F.regexp_replace(F.get("c", i), LEAD + "|" + TRAIL, "")
+            found = _occurrences(texts, lambda i: _hit(hashes, core(i)), *ids).join(F.broadcast(new), "match", "left_semi")
+        else:
+            found = _occurrences(texts, None, *ids).join(new, "match", "left_semi")
+        found = materialize(found, "pii_found")
+        out = materialize(out.unionByName(found.select(*ids, "start", "stop", "match")), "pii_sure")
+        side = lambda ks: F.coalesce(*(F.element_at(F.split(F.get("patterns", F.lit(k)), "\t"), j) for k, j in ks))
+        uses = materialize(uses.unionByName(_contexts(found.select("match", F.array(side([(0, 2)])).alias("left"), F.array(side([(2, 3)])).alias("right"), "patterns"))), "pii_uses")
+    if out is None:
+        return texts.select(*ids, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.lit("").alias("match")).filter("false")
+    return out.distinct()
 
 
 def spans_of(documents: DataFrame, *ids: str) -> DataFrame:
-    """ids, th (the text's hash), base and all: base spans, and those with the discovered identifiers."""
+    """ids, th (the text's hash), base and spans: base spans, and those with the discovered identifiers."""
     rows = documents.select(*ids, F.xxhash64("text").alias("th"), "text")
-    found = materialize(_instances(base_spans(rows, *ids, "th")).select(*ids, "th", "base", "inst"), "pii")
-    each = found.select(F.explode("inst").alias("i")).select("i.match", "i.seed", "i.before", "i.after")
-    new, sure = discover(each)
-    key = [*(F.col(c).alias(f"k{n}") for n, c in enumerate((*ids, "th")))]
-    free = found.select(*key, F.explode("inst").alias("i")).filter("not i.seed").select(*(f"k{n}" for n in range(len(ids) + 1)), "i.start", "i.stop", F.col("i.match").alias("match"), "i.before", "i.after")
-    hits = free.join(new, "match", "left_semi")
-    for side, column in (("L:", "before"), ("R:", "after")):
-        hits = hits.unionByName(free.join(sure, F.concat(F.lit(side), column) == F.col("pattern"), "left_semi"))
-    extra = hits.groupBy(*(f"k{n}" for n in range(len(ids) + 1))).agg(F.collect_set(F.struct("start", F.lit(len(ORDER) - 1).alias("rank"), F.lit("id").alias("kind"), "stop", "match")).alias("extra"))
+    rows = _add_spans(base_spans(rows, *ids, "th"), SECRET, "secrets", "[0-9A-Fa-f]{32}")
+    free = F.filter("secrets", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    seeds = F.concat(F.transform("base", lambda b: F.struct(b["start"], b["stop"], b["match"])), free)
+    keys = [f"k{n}" for n in range(len(ids) + 1)]
+    found = rows.withColumn("seeds", seeds)
+    places = materialize(_places(found, "seeds"), "pii_places")
+    base = materialize(found.select(*ids, "th", "base"), "pii")
+    texts = documents.select(*(F.col(c).alias(k) for c, k in zip(ids, keys, strict=False)), F.xxhash64("text").alias(keys[-1]), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    extra = discover(texts, places, *keys).groupBy(*keys).agg(F.collect_set(F.struct("start", F.lit(len(ORDER) - 1).alias("rank"), F.lit("id").alias("kind"), "stop", "match")).alias("extra"))
     same = F.lit(True)
-    for n, c in enumerate((*ids, "th")):
-        same = same & F.col(f"k{n}").eqNullSafe(F.col(c))
-    out = found.drop("inst").join(extra, same, "left")
-    return out.select(*ids, "th", "base", F.array_sort(F.concat("base", F.coalesce("extra", F.slice("base", 1, 0)))).alias("spans"))
+    for k, c in zip(keys, (*ids, "th"), strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(c))
+    out = base.join(extra, same, "left")
+    apart = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    return out.select(*ids, "th", "base", F.array_sort(F.concat("base", F.coalesce(apart, F.slice("base", 1, 0)))).alias("spans"))
 
 
 def redact(documents: DataFrame) -> DataFrame:
@@ -203,7 +348,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     count = [number(k) for k in KINDS]
-    return rows.select("doc_id", *count, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return rows.select("doc_id", *count, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op5_pii": op5_pii}

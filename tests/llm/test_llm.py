@@ -247,11 +247,36 @@ def test_pii_contexts(spark):
 
 
 def test_pii_frequent_words(spark):
-    """Where nearly all tokens with a digit are seeds, a word beside them proves nothing."""
-    df = spark.createDataFrame([(k, f"and of user{k}@x.example.com the") for k in range(40)] + [(k, f"and of {k} the") for k in (97, 98)], "doc_id bigint, text string")
+    """A word that mostly stands beside plain words proves nothing, however many seeds stand beside it."""
+    texts = [f"and of user{k}@x.example.com the" for k in range(40)] + [f"and of {k} the" for k in (97, 98)] + ["and of course the end"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert pii.spans_of(df, "doc_id").filter("size(spans) > size(base)").count() == 0
 
 
+def test_pii_secrets(spark):
+    """Hexadecimal runs are reported only where the context says so; quotes stay outside; a found identifier is
+    found everywhere; one of letters only is found beside a confident pattern."""
+    r = random.Random(8)
+    secret = lambda: "".join(r.choice("0123456789abcdef") for _ in range(38)) + "a1"
+    texts = [f'{words(r, 3)} token = "{secret()}" {words(r, 3)}' for _ in range(30)]
+    texts += ['x token = "nodigitshere" y', 'TOKEN = "QQ-ONE" and later (QQ-ONE), too', f"commit {secret()} of {words(r, 2)}", "é" * 200 + ' token = "été7"', None, "", "token =", 'token = "']
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id bigint, text string")
+    rows = [(x.doc_id, [(s.start, s.stop, s.match) for s in x.spans]) for x in pii.spans_of(df, "doc_id").collect()]
+    assert len(rows) == len(texts) + 1
+    got = dict(rows)
+    for k, t in enumerate(texts[:30]):
+        lo = t.index('"') + 1
+        assert got[k] == [(lo, t.rindex('"'), t[lo : t.rindex('"')])]
+    assert [m for *_, m in got[30]] == ["nodigitshere"] and [m for *_, m in got[31]] == ["QQ-ONE", "QQ-ONE"]
+    assert got[32] == [] and got[33] == [(210, 214, "été7")] and not any(got[k] for k in range(34, 38))
+
+
+def test_running(spark):
+    df = spark.createDataFrame([([r for r in range(n)],) for n in (0, 1, 255, 256, 257, 3000)], "x array<bigint>")
+    for x in df.select("x", pii.running(F.col("x")).alias("o")).collect():
+        assert x.o == [sum(x.x[:k]) for k in range(len(x.x))]
+
+
 def test_redact_overlap(spark):
     """A span that starts inside another and ends after it leaves no tail."""
     texts = ["see 10.0.0.4 1111 1111 1111 1113 now", "a 10.0.0.1 b"]
