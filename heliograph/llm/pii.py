@@ -11,7 +11,8 @@ enclosing punctuation leaves (its core, a candidate identifier) between a lead a
 after), with A-Z folded, digits as 0 and punctuation kept.
 
 1. Seeds are the base matches, and hexadecimal runs of 32 digits or more, which are no identifiers by form
-   alone: they are reported only where their context says so. Their patterns with `support` uses or more go on.
+   alone: they are reported only where their context says so. Their
+   patterns with `support` distinct seeds or more go on (copies of a text are one).
 2. A pass over all texts counts how often these patterns occur beside any piece whatever. A pattern's trust
    is the sum of the squared scores of the instances in its uses, over all its occurrences and `doubt` more: a frequent
    word stands beside a seed by chance only, and has next to none. Patterns of less than `least` are dropped.
@@ -19,7 +20,8 @@ after), with A-Z folded, digits as 0 and punctuation kept.
    instance's score is 1 for a seed, else the mean over its occurrences in the graph of the best trust
    there; places without such a pattern say nothing. After `rounds` passes of trust and scores, instances
    of `confident` or more become seeds, and so on until none is added.
-4. New seeds are looked up in all texts, and their contexts go through the same steps, until there are none.
+4. New seeds are looked up in all texts. Those that mostly stand outside the graph are dropped again; the
+   contexts of the others go through the same steps, until there are none.
 
 Unseen identifiers (kind `id`) are all occurrences of found instances, and every core beside a pattern whose
 trust is confident, as long as they do not overlap a base match. Ties do not matter: all scores are thresholds.
@@ -33,6 +35,8 @@ A null text is empty. Texts without matches have empty spans. Repeated rows each
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +52,8 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 ORDER = ("email", "ip", "card", "phone", "id")
 #: A piece with the white space after it, and what encloses an identifier.
 PIECE = r"[^\x20\x09-\x0D=:]*+[=:]*+[\x20\x09-\x0D]*+"
-LEAD = r"""^["'()\[\]{}<>,;!?|*`#]*"""
-TRAIL = r"""["'()\[\]{}<>,;!?|*`#.=:]*$"""
+LEAD = "\"'()[]{}<>,;!?|*`#"
+TRAIL = LEAD + ".=:"
 #: Seeds that only their context makes identifiers.
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 SMALL = 500_000
@@ -125,36 +129,49 @@ def _held(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
 
 
-_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789"
-_TO = "abcdefghijklmnopqrstuvwxyz000000000"
+_SPACES = " \t\n\x0b\f\r"
 
 
 def _folded(text: Column) -> Column:
-    """A-Z folded and digits as 0; no length changes."""
-    return F.translate(text, _FROM, _TO)
+    """In lower case, where that keeps the length (else as it is), and digits as 0: positions stay."""
+    low = F.when(F.length(F.lower(text)) == F.length(text), F.lower(text)).otherwise(text)
+    return F.regexp_replace(low, "[1-9]", "0")
 
 
-def _trimmed(piece: Column) -> Column:
-    return F.regexp_replace(piece, r"[\x20\x09-\x0D]+$", "")
+def _patterns(lead: Column, before: Column, before2: Column, trail: Column, after: Column, after2: Column) -> Column:
+    """The patterns of one place: of each kind, the pieces (near and far) and the punctuation; null where it has
+    no such piece. Arguments: folded and trimmed."""
 
+    def pattern(kind: str, near: Column, far: Column, mark: Column, there: Column) -> Column:
+        return F.when(there, F.struct(F.lit(kind).alias("kind"), near.alias("near"), far.alias("far"), mark.alias("mark")))
 
-def _patterns(lead: Column, before: Column, before2: Column, trail: Column, after: Column, after2: Column) -> Column:
-    """The patterns of one place, as texts; null where it has no such piece. Arguments: folded and trimmed."""
-    l1, r1 = F.concat_ws("\t", before, lead), F.concat_ws("\t", trail, after)
+    none = F.lit("")
     return F.array(
-        F.when(before != "", F.concat(F.lit("L1\t"), l1)), F.when((before != "") & (before2 != ""), F.concat(F.lit("L2\t"), before2, F.lit("\t"), l1)),
-        F.when(after != "", F.concat(F.lit("R1\t"), r1)), F.when((after != "") & (after2 != ""), F.concat(F.lit("R2\t"), r1, F.lit("\t"), after2)),
+        pattern("L1", before, none, lead, before != ""), pattern("L2", before, before2, lead, (before != "") & (before2 != "")),
+        pattern("R1", after, none, trail, after != ""), pattern("R2", after, after2, trail, (after != "") & (after2 != "")),
     )
 
 
-def _places(rows: DataFrame, seeds: str, reach: int = 120) -> DataFrame:
-    """match, anchors (the pieces beside it) and patterns of each of the spans in `seeds`, one row each. A piece
-    that begins or ends beyond `reach` code points is none."""
-    each = rows.filter(F.size(seeds) > 0).select("t", F.explode(seeds).alias("x")).select(
-        "x.match",
-        _folded(F.substring("t", F.greatest(F.col("x.start") - reach, F.lit(0)).cast("int") + 1, F.least("x.start", F.lit(reach)).cast("int"))).alias("b"), (F.col("x.start") > reach).alias("cut_b"),
-        _folded(F.substring("t", F.col("x.stop").cast("int") + 1, F.lit(reach))).alias("a"), (F.length("t") - F.col("x.stop") > reach).alias("cut_a"),
+REACH = 120
+
+
+def _around(seeds: str) -> Column:
+    """Of each span in `seeds`: match, and what stands within REACH code points before (b) and after (a), and
+    whether that is cut."""
+    return F.transform(
+        seeds,
+        lambda x: F.struct(
+            x["match"].alias("match"),
+            F.substring("t", F.greatest(x["start"] - REACH, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(REACH)).cast("int")).alias("b"), (x["start"] > REACH).alias("cut_b"),
+            F.substring("t", x["stop"].cast("int") + 1, F.lit(REACH)).alias("a"), (F.length("t") - x["stop"] > REACH).alias("cut_a"),
+        ),
     )
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """match and patterns of each of the seeds (near: what _around gives), one row each. A piece that begins or
+    ends beyond REACH is none."""
+    each = rows.select(F.explode("near").alias("x")).select("x.match", _folded(F.col("x.b")).alias("b"), "x.cut_b", _folded(F.col("x.a")).alias("a"), "x.cut_a")
     each = _held(each)
     every = lambda c: F.filter(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)), lambda p: p != "")
     each = _held(each.withColumns({"b": every("b"), "a": every("a")}))
@@ -163,27 +180,13 @@ def _places(rows: DataFrame, seeds: str, reach: int = 120) -> DataFrame:
     open_ = F.coalesce(F.get("b", F.size("b") - 1), F.lit("")).rlike(r"[^\x20\x09-\x0D=:]\z")
     each = each.withColumn("lead", F.when(open_, F.get("b", F.size("b") - 1)).otherwise("")).withColumn("last", F.size("b") - 1 - open_.cast("int"))
     each = _held(each)
-    piece = lambda c, i: F.coalesce(_trimmed(F.get(c, i)), F.lit(""))
+    piece = lambda c, i: F.coalesce(F.rtrim(F.get(c, i), F.lit(_SPACES)), F.lit(""))
     before, before2, after, after2 = piece("b", F.col("last")), piece("b", F.col("last") - 1), piece("a", F.lit(1)), piece("a", F.lit(2))
     each = _held(each.select("match", "lead", before.alias("before"), before2.alias("before2"), piece("a", F.lit(0)).alias("trail"), after.alias("after"), after2.alias("after2")))
-    return each.select("match", F.array("before").alias("left"), F.array("after").alias("right"), _patterns(*(F.col(c) for c in ("lead", "before", "before2", "trail", "after", "after2"))).alias("patterns"))
+    return each.select("match", _patterns(*(F.col(c) for c in ("lead", "before", "before2", "trail", "after", "after2"))).alias("patterns"))
 
 
-def _hit(hashes: list[int], value: Column) -> Column:
-    """Is the bit of this text set in the table of the hashes."""
-    table, power = _bitmap(hashes)
-    h = F.xxhash64(value)
-    return F.call_function("bit_get", F.get(table, F.shiftrightunsigned(h, 64 - power).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
-def _scan(texts: DataFrame, keep: Column | None, *ids: str) -> DataFrame:
-    """ids and every piece that `keep` (over the arrays c, of folded and trimmed pieces, and p, of the pieces, and
-    the place i) allows: its place, core, lead, trail and patterns."""
-    rows = _held(texts.select(*ids, "t", F.regexp_extract_all("t", F.lit(PIECE), F.lit(0)).alias("p")))
-    rows = rows.withColumn("c", F.split(F.regexp_replace(_folded(F.array_join("p", "\x00")), r"[\x20\x09-\x0D]+(?=\x00|\z)", ""), "\x00"))
-    every = F.sequence(F.lit(0), F.size("p") - 1)
-    rows = _held(_held(rows).withColumn("i", every if keep is None else F.filter(every, keep)))
-    return rows.filter(F.size("i") > 0)
+PATTERN = ["kind", "near", "far", "mark"]
 
 
 def _bitmap(hashes: list[int]) -> tuple[Column, int]:
@@ -196,80 +199,141 @@ def _bitmap(hashes: list[int]) -> tuple[Column, int]:
     return F.split(F.lit(",".join(str(x - 2**64 if x >= 2**63 else x) for x in table)), ",").cast("array<bigint>"), power
 
 
-def _anchored(patterns: DataFrame, small: int):
-    """A test of a place for the pieces beside it that these patterns name (left, right: the piece next to the
-    instance), and how to bound the patterns; neither if there are more than `small`."""
-    if patterns.count() > small:
-        return None, lambda df: df
-    sides = {}
-    for side in ("left", "right"):
-        sides[side] = [r.h for r in patterns.filter(F.col("side") == side).select(F.xxhash64("anchor").alias("h")).distinct().collect()]
+def _hit(hashes: list[int], *values: Column) -> Column:
+    """Is the bit of these texts set in the table of the hashes."""
+    table, power = _bitmap(hashes)
+    h = F.xxhash64(*values)
+    return F.call_function("bit_get", F.get(table, F.shiftrightunsigned(h, 64 - power).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def keep(i: Column) -> Column:
-        return _hit(sides["left"], F.get("c", i - 1)) | _hit(sides["right"], F.get("c", i + 1))
 
-    return keep, F.broadcast
+def _beside(kind: str, i: Column) -> tuple[Column, ...]:
+    """The pieces that a pattern of this kind names, of the place i among the pieces c."""
+    step = -1 if kind[0] == "L" else 1
+    return tuple(F.get("c", i + step * k) for k in range(1, int(kind[1]) + 1))
 
 
-def _contexts(places: DataFrame) -> DataFrame:
-    """match, pattern, side and anchor of each use."""
-    each = places.select("match", "left", "right", F.posexplode("patterns").alias("k", "pattern")).filter("pattern is not null")
-    return each.select("match", "pattern", F.when(F.col("k") < 2, "left").otherwise("right").alias("side"), F.when(F.col("k") < 2, F.get("left", F.lit(0))).otherwise(F.get("right", F.lit(0))).alias("anchor"))
+def _tables(patterns: DataFrame) -> dict[str, list[int]]:
+    """By kind the hashes of the pieces that patterns name: for at most `small` patterns."""
+    rows = patterns.select("kind", F.when(F.col("kind").endswith("1"), F.xxhash64("near")).otherwise(F.xxhash64("near", "far")).alias("h")).distinct().collect()
+    return {kind: [r.h for r in rows if r.kind == kind] for kind in sorted({r.kind for r in rows})}
 
 
-def _around(rows: DataFrame, *columns: str) -> DataFrame:
-    """Of a scan: one row for each place, with lead, core, trail and patterns."""
-    at = lambda k: F.coalesce(F.when(F.col("x") + k >= 0, F.get("c", F.col("x") + k)), F.lit(""))
-    each = rows.select(*columns, F.explode("i").alias("x"), "c")
-    each = each.select(*columns, "x", at(-2).alias("b2"), at(-1).alias("b1"), at(0).alias("own"), at(1).alias("a1"), at(2).alias("a2"))
-    each = _held(_held(each).withColumns({"lead": F.regexp_extract("own", LEAD, 0), "trail": F.regexp_extract("own", TRAIL, 0)}))
-    return each.filter(F.length("own") > F.length("lead") + F.length("trail")).withColumn("patterns", _patterns(F.col("lead"), F.col("b1"), F.col("b2"), F.col("trail"), F.col("a1"), F.col("a2")))
+def _pieces(texts: DataFrame, *ids: str) -> DataFrame:
+    """ids, t, f (t folded) and c, its pieces without white space."""
+    rows = _held(texts.select(*ids, "t", _folded(F.col("t")).alias("f")))
+    cut = F.when(F.col("f").rlike(r"[=:][^\x20\x09-\x0D=:]"), F.regexp_replace("f", r"([=:])(?=[^\x20\x09-\x0D=:])", "$1 ")).otherwise(F.col("f"))
+    return _held(rows.select(*ids, "t", "f", F.split(cut, r"[\x20\x09-\x0D]+").alias("c")))
+
+
+def _lead(piece: Column) -> Column:
+    return F.length(piece) - F.length(F.ltrim(piece, F.lit(LEAD)))
+
+
+def _core_size(piece: Column) -> Column:
+    return F.length(F.rtrim(F.ltrim(piece, F.lit(LEAD)), F.lit(TRAIL)))
+
+
+def _bare_totals(texts: DataFrame, tables: dict[str, list[int]]) -> DataFrame:
+    """kind, h (the hash of the pieces), total: how often pieces in the tables stand beside a core without any
+    punctuation between. One number for each place goes on: this pass meets the most frequent words."""
+    rows = _pieces(texts)
+    every = F.sequence(F.lit(0), F.size("c") - 1)
+
+    def marks(kind: str, hashes: list[int]) -> Column:
+        def holds(i: Column) -> Column:
+            own = F.get("c", i)
+            bare = F.instr(F.lit(LEAD), F.substring(own, 1, 1)) == 0 if kind[0] == "L" else F.rtrim(own, F.lit(TRAIL)) == own
+            return _hit(hashes, *_beside(kind, i)) & bare & (_core_size(own) > 0)
+
+        return F.transform(F.filter(every, lambda i: holds(i)), lambda i: F.struct(F.lit(kind).alias("kind"), F.xxhash64(*_beside(kind, i)).alias("h")))
+
+    return rows.select(F.explode(F.concat(*(marks(k, t) for k, t in tables.items()))).alias("m")).groupBy("m.kind", "m.h").agg(F.count("*").alias("total"))
 
 
 def _occurrences(texts: DataFrame, keep, *ids: str) -> DataFrame:
-    """ids, start, stop, match and patterns of the cores at the places that `keep` allows."""
-    rows = _scan(texts, keep, *ids).withColumn("w", F.transform("p", lambda p: F.length(p).cast("long")))
-    rows = _held(_held(rows).withColumn("o", running(F.col("w"))))
-    rows = _around(rows, *ids, "t", "o")
-    start = F.get("o", F.col("x")) + F.length("lead")
-    size = F.length("own") - F.length("lead") - F.length("trail")
-    return rows.select(*ids, start.alias("start"), (start + size).alias("stop"), F.substring("t", start.cast("int") + 1, size).alias("match"), "patterns")
+    """ids, start, stop, match and patterns of the cores at the places of c that `keep` allows (None: all).
+    keep: the columns to add one by one, the last of which is i, the places."""
+    rows = _pieces(texts, *ids)
+    every = F.sequence(F.lit(0), F.size("c") - 1)
+    for column in keep or [every]:
+        rows = _held(rows.withColumn("i", column))
+    rows = rows.filter(F.size("i") > 0)
+    # the offsets of these places only: from each to the next the pieces with their white space are joined
+    rows = _held(rows.withColumn("p", F.regexp_extract_all("f", F.lit(PIECE), F.lit(0))))
+    step = F.zip_with("i", F.concat(F.array(F.lit(0)), F.slice("i", F.lit(1), F.size("i") - 1)), lambda x, before: F.length(F.array_join(F.slice("p", before + 1, x - before), "")).cast("long"))
+    rows = _held(rows.withColumn("w", step))
+    rows = _held(rows.withColumn("o", F.zip_with(running(F.col("w")), "w", lambda a, w: a + w)))
+    rows = rows.select(*ids, "t", "c", F.explode(F.arrays_zip("i", "o")).alias("x"))
+    at = lambda k: F.coalesce(F.when(F.col("x.i") + k >= 0, F.get("c", F.col("x.i") + k)), F.lit(""))
+    rows = _held(rows.select(*ids, "t", "x.o", at(-2).alias("b2"), at(-1).alias("b1"), at(0).alias("own"), at(1).alias("a1"), at(2).alias("a2")))
+    rows = _held(rows.withColumns({"lead": _lead(F.col("own")), "size": _core_size(F.col("own"))})).filter("size > 0")
+    start = F.col("o") + F.col("lead")
+    mark, trail = F.substring("own", F.lit(1), F.col("lead")), F.substring("own", F.col("lead") + F.col("size") + 1, F.length("own"))
+    return rows.select(*ids, start.alias("start"), (start + F.col("size")).alias("stop"), F.substring("t", start.cast("int") + 1, F.col("size")).alias("match"), _patterns(mark, F.col("b1"), F.col("b2"), trail, F.col("a1"), F.col("a2")).alias("patterns"))
+
+
+def _named(near: list[int], tables: dict[str, list[int]]) -> list[Column]:
+    """The places beside the pieces that patterns name: first these pieces are found by one test each (near: their
+    hashes), then the places on either side are tested by the kinds."""
+    pieces = F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: _hit(near, F.get("c", i)))
+    sides = F.array_sort(F.array_distinct(F.flatten(F.transform("i", lambda i: F.array(i - 1, i + 1)))))
+    holds = lambda i: (i >= 0) & (i < F.size("c")) & functools.reduce(lambda a, b: a | b, (_hit(t, *_beside(kind, i)) for kind, t in tables.items()))
+    return [pieces, F.when(F.size("i") > 0, F.filter(sides, holds)).otherwise(F.col("i"))]
+
+
+def _holding(hashes: list[int]) -> list[Column]:
+    """The places whose core has one of the hashes."""
+    return [F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: _hit(hashes, F.rtrim(F.ltrim(F.get("c", i), F.lit(LEAD)), F.lit(TRAIL))))]
+
+
+def _contexts(places: DataFrame) -> DataFrame:
+    """match and pattern (its four columns) of each use."""
+    return places.select("match", F.explode("patterns").alias("x")).filter("x is not null").select("match", "x.*")
 
 
 def discover(texts: DataFrame, places: DataFrame, *ids: str, rounds: int = 3, confident: float = 0.9, support: int = 5, least: float = 0.1, doubt: float = 1.0, small: int = SMALL) -> DataFrame:
     """ids, start, stop and match of every identifier that the contexts of the seeds lead to (they may overlap
-    base matches). texts: ids and t; places: the seeds' uses."""
+    base matches). texts: ids and t; places: the seeds' uses. Up to `small` patterns are looked up in constant
+    tables of bits and broadcast; beyond that all places are joined by a shuffle."""
     seeds = materialize(places.select("match").distinct(), "pii_seeds")
     uses = materialize(_contexts(places), "pii_uses")
-    known = None  # patterns with their totals
-    out = None
+    known = out = None
     while True:
-        fresh = uses.groupBy("pattern", "side", "anchor").agg(F.count("*").alias("seen")).filter(F.col("seen") >= support)
-        if known is not None:
-            fresh = fresh.join(known.select("pattern"), "pattern", "left_anti")
-        fresh = materialize(fresh.select("pattern", "side", "anchor"), "pii_fresh")
-        if fresh.isEmpty():
+        fresh = uses.groupBy(*PATTERN, "match").agg(F.count("*").alias("n")).groupBy(*PATTERN).agg(F.sum("n").alias("seen"), F.count("*").alias("kinds")).filter(F.col("kinds") >= support).drop("kinds")
+        fresh = materialize(fresh if known is None else fresh.join(known, PATTERN, "left_anti"), "pii_fresh")
+        number = fresh.count()
+        if not number:
             break
-        keep, bounded = _anchored(fresh, small)
-        met = _around(_scan(texts, keep, *ids)).select(F.explode("patterns").alias("pattern")).filter("pattern is not null")
-        total = met.join(bounded(fresh.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
-        counted = fresh.join(total, "pattern", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-        known = materialize(counted if known is None else known.unionByName(counted), "pii_patterns")
-        # a pattern may gain by instances yet unknown, but only from a share of seeds of its own
-        own = uses.groupBy("pattern").agg(F.count("*").alias("seen"))
-        live = materialize(known.join(own, "pattern").filter(F.col("seen") >= F.lit(least) * (F.col("total") + doubt)).select("pattern", "side", "anchor", F.greatest("total", "seen").alias("total")), "pii_live")
+        known = fresh.select(*PATTERN) if known is None else known.unionByName(fresh.select(*PATTERN))
+        few = number <= small
+        bounded = F.broadcast if few else (lambda df: df)
+        bare = fresh.filter("mark = ''") if few else fresh.filter("false")
+        if not bare.isEmpty():  # a pattern may gain by instances yet unknown, but only from a share of seeds of its own
+            h = F.when(F.col("kind").endswith("1"), F.xxhash64("near")).otherwise(F.xxhash64("near", "far"))
+            total = _bare_totals(texts, _tables(bare)).join(bounded(bare.withColumn("h", h).select("kind", "h", "seen")), ["kind", "h"])
+            hopeless = materialize(total.filter(F.col("seen") < F.lit(least) * (F.col("total") + doubt)).select("kind", "h"), "pii_hopeless")
+            fresh = materialize(fresh.withColumn("h", h).join(hopeless.withColumn("mark", F.lit("")), ["kind", "h", "mark"], "left_anti").drop("h"), "pii_fresh")
+            if fresh.isEmpty():
+                break
+        tables = _tables(fresh) if few else {}
+        near = [r.h for r in fresh.select(F.xxhash64("near").alias("h")).distinct().collect()] if few else []
+        spots = _occurrences(texts, _named(near, tables) if few else None, *ids).withColumn("_n", F.monotonically_increasing_id())
+        spots = spots.select(*ids, "_n", "start", "stop", "match", F.explode("patterns").alias("x")).filter("x is not null").select(*ids, "_n", "start", "stop", "match", "x.*")
+        spots = materialize(spots.join(bounded(fresh.select(*PATTERN, F.xxhash64(*PATTERN).alias("pattern"))), PATTERN).drop(*PATTERN), "pii_spots")
+        mine = materialize(uses.withColumn("pattern", F.xxhash64(*PATTERN)).join(seeds, "match", "left_semi").groupBy("pattern", "match").agg(F.count("*").alias("n")), "pii_mine")
+        seen = mine.groupBy("pattern").agg(F.sum("n").alias("seen"))
+        live = spots.groupBy("pattern").agg(F.count("*").alias("total")).join(seen, "pattern").filter(F.col("seen") >= F.lit(least) * (F.col("total") + doubt))
+        live = materialize(live.select("pattern", F.greatest("total", "seen").alias("total")), "pii_live")
         if live.isEmpty():
             break
-        keep, bounded = _anchored(live, small)
-        spots = _occurrences(texts, keep, *ids).withColumn("_n", F.monotonically_increasing_id())
-        spots = spots.select(*ids, "_n", "start", "stop", "match", F.explode("patterns").alias("pattern")).filter("pattern is not null")
-        spots = materialize(spots.join(bounded(live.select("pattern")), "pattern", "left_semi"), "pii_spots")
-        # seeds that are no pieces (a phone number of several) are uses of their patterns as well
+        spots = spots.join(live.select("pattern"), "pattern", "left_semi")
+        # seeds that are no single core (a phone number of several pieces) are uses of their patterns as well
         edges = spots.groupBy("pattern", "match").agg(F.count("*").alias("n"))
-        outer = uses.join(seeds, "match", "left_semi").groupBy("pattern", "match").agg(F.count("*").alias("n")).join(edges.select("pattern", "match"), ["pattern", "match"], "left_anti").join(live.select("pattern"), "pattern", "left_semi")
-        edges = materialize(edges.unionByName(outer), "pii_edges")
+        outer = mine.join(live.select("pattern"), "pattern", "left_semi").join(edges.select("pattern", "match"), ["pattern", "match"], "left_anti")
+        edges = materialize(edges.unionByName(outer.select("pattern", "match", "n")), "pii_edges")
         # the occurrences of one instance with the same patterns count together
-        together = materialize(spots.groupBy("_n", "match").agg(F.sort_array(F.collect_set("pattern")).alias("set")).groupBy("match", "set").agg(F.count("*").alias("n")).withColumn("g", F.monotonically_increasing_id()), "pii_together")
+        together = spots.groupBy("_n", "match").agg(F.sort_array(F.collect_set("pattern")).alias("set")).groupBy("match", "set").agg(F.count("*").alias("n"))
+        together = materialize(together.withColumn("g", F.monotonically_increasing_id()), "pii_together")
         sides = together.select("match", "n", "g", F.explode("set").alias("pattern"))
         started = seeds
         while True:
@@ -287,19 +351,23 @@ def discover(texts: DataFrame, places: DataFrame, *ids: str, rounds: int = 3, co
         sure = spots.join(trust.filter(F.col("trust") >= confident).select("pattern"), "pattern", "left_semi").select(*ids, "start", "stop", "match").distinct()
         out = materialize(sure if out is None else out.unionByName(sure), "pii_sure")
         new = materialize(seeds.join(started, "match", "left_anti"), "pii_new")
-        if new.isEmpty():
+        number = new.count()
+        if not number:
             break
         # all occurrences of the new seeds, wherever they stand
-        if new.count() <= small:
-            hashes = [r.h for r in new.select(F.xxhash64(_folded(F.col("match"))).alias("h")).distinct().collect()]
-            core = lambda i: F.regexp_replace(F.get("c", i), LEAD + "|" + TRAIL, "")
-            found = _occurrences(texts, lambda i: _hit(hashes, core(i)), *ids).join(F.broadcast(new), "match", "left_semi")
-        else:
-            found = _occurrences(texts, None, *ids).join(new, "match", "left_semi")
-        found = materialize(found, "pii_found")
+        hashes = [r.h for r in new.select(F.xxhash64(_folded(F.col("match"))).alias("h")).distinct().collect()] if number <= small else None
+        found = _occurrences(texts, None if hashes is None else _holding(hashes), *ids)
+        found = materialize(found.join(F.broadcast(new) if number <= small else new, "match", "left_semi"), "pii_found")
+        # an instance that mostly stands elsewhere is a word that came beside such a pattern once
+        inside = together.groupBy("match").agg(F.sum("n").alias("n")).join(new, "match", "left_semi")
+        whole = found.groupBy("match").agg(F.count("*").alias("every"))
+        stray = materialize(inside.join(whole, "match", "left").filter(F.col("n") * 2 < F.coalesce("every", F.lit(0))).select("match"), "pii_stray")
+        seeds = materialize(seeds.join(stray, "match", "left_anti"), "pii_seeds")
+        found = materialize(found.join(stray, "match", "left_anti"), "pii_found")
+        if found.isEmpty():
+            break
         out = materialize(out.unionByName(found.select(*ids, "start", "stop", "match")), "pii_sure")
-        side = lambda ks: F.coalesce(*(F.element_at(F.split(F.get("patterns", F.lit(k)), "\t"), j) for k, j in ks))
-        uses = materialize(uses.unionByName(_contexts(found.select("match", F.array(side([(0, 2)])).alias("left"), F.array(side([(2, 3)])).alias("right"), "patterns"))), "pii_uses")
+        uses = materialize(uses.unionByName(_contexts(found)), "pii_uses")
     if out is None:
         return texts.select(*ids, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.lit("").alias("match")).filter("false")
     return out.distinct()
@@ -312,9 +380,10 @@ def spans_of(documents: DataFrame, *ids: str) -> DataFrame:
     free = F.filter("secrets", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
     seeds = F.concat(F.transform("base", lambda b: F.struct(b["start"], b["stop"], b["match"])), free)
     keys = [f"k{n}" for n in range(len(ids) + 1)]
-    found = rows.withColumn("seeds", seeds)
-    places = materialize(_places(found, "seeds"), "pii_places")
-    base = materialize(found.select(*ids, "th", "base"), "pii")
+    rows = rows.withColumn("seeds", F.when(F.size("secrets") + F.size("base") > 0, seeds))
+    base = materialize(rows.select(*ids, "th", "base", F.when(F.size("seeds") > 0, _around("seeds")).alias("near")), "pii")
+    places = materialize(_places(base), "pii_places")
+    base = base.drop("near")
     texts = documents.select(*(F.col(c).alias(k) for c, k in zip(ids, keys, strict=False)), F.xxhash64("text").alias(keys[-1]), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     extra = discover(texts, places, *keys).groupBy(*keys).agg(F.collect_set(F.struct("start", F.lit(len(ORDER) - 1).alias("rank"), F.lit("id").alias("kind"), "stop", "match")).alias("extra"))
     same = F.lit(True)
