@@ -8,7 +8,7 @@ the same expression, and each match starts after the pieces and matches before i
 The bootstrap reads a text as pieces: runs without white space, cut after `=` and `:`. A piece is what its
 enclosing punctuation leaves (its core, a candidate identifier) between a lead and a trail; its patterns are
 `L1` (the piece before, and the lead), `L2` (two pieces before), `R1` and `R2` (trail and the pieces
-after), with A-Z folded, digits as 0 and punctuation kept.
+after), in lower case, with punctuation kept.
 
 1. Seeds are the base matches, and hexadecimal runs of 32 digits or more, which are no identifiers by form
    alone: they are reported only where their context says so. Their
@@ -133,9 +133,9 @@ _SPACES = " \t\n\x0b\f\r"
 
 
 def _folded(text: Column) -> Column:
-    """In lower case, where that keeps the length (else as it is), and digits as 0: positions stay."""
-    low = F.when(F.length(F.lower(text)) == F.length(text), F.lower(text)).otherwise(text)
-    return F.regexp_replace(low, "[1-9]", "0")
+    """In lower case, where that keeps the length, so that positions stay; else as it is."""
+    low = F.lower(text)
+    return F.when((F.octet_length(text) == F.length(text)) | (F.length(low) == F.length(text)), low).otherwise(text)
 
 
 def _patterns(lead: Column, before: Column, before2: Column, trail: Column, after: Column, after2: Column) -> Column:
@@ -221,7 +221,7 @@ def _tables(patterns: DataFrame) -> dict[str, list[int]]:
 def _pieces(texts: DataFrame, *ids: str) -> DataFrame:
     """ids, t, f (t folded) and c, its pieces without white space."""
     rows = _held(texts.select(*ids, "t", _folded(F.col("t")).alias("f")))
-    cut = F.when(F.col("f").rlike(r"[=:][^\x20\x09-\x0D=:]"), F.regexp_replace("f", r"([=:])(?=[^\x20\x09-\x0D=:])", "$1 ")).otherwise(F.col("f"))
+    cut = F.when(F.contains("f", F.lit("=")) | F.contains("f", F.lit(":")), F.regexp_replace("f", r"([=:])(?=[^\x20\x09-\x0D=:])", "$1 ")).otherwise(F.col("f"))
     return _held(rows.select(*ids, "t", "f", F.split(cut, r"[\x20\x09-\x0D]+").alias("c")))
 
 
@@ -233,21 +233,23 @@ def _core_size(piece: Column) -> Column:
     return F.length(F.rtrim(F.ltrim(piece, F.lit(LEAD)), F.lit(TRAIL)))
 
 
-def _bare_totals(texts: DataFrame, tables: dict[str, list[int]]) -> DataFrame:
-    """kind, h (the hash of the pieces), total: how often pieces in the tables stand beside a core without any
-    punctuation between. One number for each place goes on: this pass meets the most frequent words."""
+def _totals(texts: DataFrame, tables: dict[str, list[int]]) -> DataFrame:
+    """pattern (its hash), total: how often each pattern whose pieces are in the tables stands beside any core. One
+    number for each place goes on: this pass meets the most frequent words."""
     rows = _pieces(texts)
     every = F.sequence(F.lit(0), F.size("c") - 1)
 
     def marks(kind: str, hashes: list[int]) -> Column:
-        def holds(i: Column) -> Column:
-            own = F.get("c", i)
-            bare = F.instr(F.lit(LEAD), F.substring(own, 1, 1)) == 0 if kind[0] == "L" else F.rtrim(own, F.lit(TRAIL)) == own
-            return _hit(hashes, *_beside(kind, i)) & bare & (_core_size(own) > 0)
+        def mark(own: Column) -> Column:
+            return F.substring(own, F.lit(1), _lead(own)) if kind[0] == "L" else F.substring(own, F.lit(1) + F.length(F.rtrim(own, F.lit(TRAIL))), F.length(own))
 
-        return F.transform(F.filter(every, lambda i: holds(i)), lambda i: F.struct(F.lit(kind).alias("kind"), F.xxhash64(*_beside(kind, i)).alias("h")))
+        def number(i: Column) -> Column:
+            pieces = _beside(kind, i)
+            return F.xxhash64(F.lit(kind), pieces[0], pieces[1] if kind[1] == "2" else F.lit(""), mark(F.get("c", i)))
 
-    return rows.select(F.explode(F.concat(*(marks(k, t) for k, t in tables.items()))).alias("m")).groupBy("m.kind", "m.h").agg(F.count("*").alias("total"))
+        return F.transform(F.filter(every, lambda i: _hit(hashes, *_beside(kind, i)) & (_core_size(F.get("c", i)) > 0)), number)
+
+    return rows.select(F.explode(F.concat(*(marks(k, t) for k, t in tables.items()))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def _occurrences(texts: DataFrame, keep, *ids: str) -> DataFrame:
@@ -307,19 +309,18 @@ def discover(texts: DataFrame, places: DataFrame, *ids: str, rounds: int = 3, co
         known = fresh.select(*PATTERN) if known is None else known.unionByName(fresh.select(*PATTERN))
         few = number <= small
         bounded = F.broadcast if few else (lambda df: df)
-        bare = fresh.filter("mark = ''") if few else fresh.filter("false")
-        if not bare.isEmpty():  # a pattern may gain by instances yet unknown, but only from a share of seeds of its own
-            h = F.when(F.col("kind").endswith("1"), F.xxhash64("near")).otherwise(F.xxhash64("near", "far"))
-            total = _bare_totals(texts, _tables(bare)).join(bounded(bare.withColumn("h", h).select("kind", "h", "seen")), ["kind", "h"])
-            hopeless = materialize(total.filter(F.col("seen") < F.lit(least) * (F.col("total") + doubt)).select("kind", "h"), "pii_hopeless")
-            fresh = materialize(fresh.withColumn("h", h).join(hopeless.withColumn("mark", F.lit("")), ["kind", "h", "mark"], "left_anti").drop("h"), "pii_fresh")
+        fresh = fresh.withColumn("pattern", F.xxhash64(*PATTERN))
+        if few:  # a pattern may gain by instances yet unknown, but only from a share of seeds of its own
+            total = _totals(texts, _tables(fresh)).join(F.broadcast(fresh.select("pattern")), "pattern", "left_semi")
+            hopeless = fresh.join(total, "pattern").filter(F.col("seen") < F.lit(least) * (F.col("total") + doubt)).select("pattern")
+            fresh = materialize(fresh.join(F.broadcast(hopeless), "pattern", "left_anti"), "pii_fresh")
             if fresh.isEmpty():
                 break
         tables = _tables(fresh) if few else {}
         near = [r.h for r in fresh.select(F.xxhash64("near").alias("h")).distinct().collect()] if few else []
         spots = _occurrences(texts, _named(near, tables) if few else None, *ids).withColumn("_n", F.monotonically_increasing_id())
         spots = spots.select(*ids, "_n", "start", "stop", "match", F.explode("patterns").alias("x")).filter("x is not null").select(*ids, "_n", "start", "stop", "match", "x.*")
-        spots = materialize(spots.join(bounded(fresh.select(*PATTERN, F.xxhash64(*PATTERN).alias("pattern"))), PATTERN).drop(*PATTERN), "pii_spots")
+        spots = materialize(spots.join(bounded(fresh.select(*PATTERN, "pattern")), PATTERN).drop(*PATTERN), "pii_spots")
         mine = materialize(uses.withColumn("pattern", F.xxhash64(*PATTERN)).join(seeds, "match", "left_semi").groupBy("pattern", "match").agg(F.count("*").alias("n")), "pii_mine")
         seen = mine.groupBy("pattern").agg(F.sum("n").alias("seen"))
         live = spots.groupBy("pattern").agg(F.count("*").alias("total")).join(seen, "pattern").filter(F.col("seen") >= F.lit(least) * (F.col("total") + doubt))
