@@ -199,10 +199,9 @@ def _bitmap(hashes: list[int]) -> tuple[Column, int]:
     return F.split(F.lit(",".join(str(x - 2**64 if x >= 2**63 else x) for x in table)), ",").cast("array<bigint>"), power
 
 
-def _hit(hashes: list[int], *values: Column) -> Column:
-    """Is the bit of these texts set in the table of the hashes."""
+def _hit(hashes: list[int], h: Column) -> Column:
+    """Is this hash's bit set in the table of the hashes."""
     table, power = _bitmap(hashes)
-    h = F.xxhash64(*values)
     return F.call_function("bit_get", F.get(table, F.shiftrightunsigned(h, 64 - power).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
@@ -233,6 +232,13 @@ def _core_size(piece: Column) -> Column:
     return F.length(F.rtrim(F.ltrim(piece, F.lit(LEAD)), F.lit(TRAIL)))
 
 
+def _number(kind: str, i: Column) -> Column:
+    """The hash of the pattern of this kind at the place i."""
+    own, pieces = F.get("c", i), _beside(kind, i)
+    mark = F.substring(own, F.lit(1), _lead(own)) if kind[0] == "L" else F.substring(own, F.lit(1) + F.length(F.rtrim(own, F.lit(TRAIL))), F.length(own))
+    return F.xxhash64(F.lit(kind), pieces[0], pieces[1] if kind[1] == "2" else F.lit(""), mark)
+
+
 def _totals(texts: DataFrame, tables: dict[str, list[int]]) -> DataFrame:
     """pattern (its hash), total: how often each pattern whose pieces are in the tables stands beside any core. One
     number for each place goes on: this pass meets the most frequent words."""
@@ -240,14 +246,7 @@ def _totals(texts: DataFrame, tables: dict[str, list[int]]) -> DataFrame:
     every = F.sequence(F.lit(0), F.size("c") - 1)
 
     def marks(kind: str, hashes: list[int]) -> Column:
-        def mark(own: Column) -> Column:
-            return F.substring(own, F.lit(1), _lead(own)) if kind[0] == "L" else F.substring(own, F.lit(1) + F.length(F.rtrim(own, F.lit(TRAIL))), F.length(own))
-
-        def number(i: Column) -> Column:
-            pieces = _beside(kind, i)
-            return F.xxhash64(F.lit(kind), pieces[0], pieces[1] if kind[1] == "2" else F.lit(""), mark(F.get("c", i)))
-
-        return F.transform(F.filter(every, lambda i: _hit(hashes, *_beside(kind, i)) & (_core_size(F.get("c", i)) > 0)), number)
+        return F.transform(F.filter(every, lambda i: _hit(hashes, F.xxhash64(*_beside(kind, i))) & (_core_size(F.get("c", i)) > 0)), lambda i: _number(kind, i))
 
     return rows.select(F.explode(F.concat(*(marks(k, t) for k, t in tables.items()))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
 
@@ -274,18 +273,20 @@ def _occurrences(texts: DataFrame, keep, *ids: str) -> DataFrame:
     return rows.select(*ids, start.alias("start"), (start + F.col("size")).alias("stop"), F.substring("t", start.cast("int") + 1, F.col("size")).alias("match"), _patterns(mark, F.col("b1"), F.col("b2"), trail, F.col("a1"), F.col("a2")).alias("patterns"))
 
 
-def _named(near: list[int], tables: dict[str, list[int]]) -> list[Column]:
-    """The places beside the pieces that patterns name: first these pieces are found by one test each (near: their
-    hashes), then the places on either side are tested by the kinds."""
-    pieces = F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: _hit(near, F.get("c", i)))
+def _named(patterns: DataFrame) -> list[Column]:
+    """The places of these patterns (at most `small`): by one test of each piece those that patterns name, then by
+    the whole patterns the places on either side."""
+    rows = patterns.select("kind", F.xxhash64("near").alias("near"), "pattern").collect()
+    pieces = F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: _hit(sorted({r.near for r in rows}), F.xxhash64(F.get("c", i))))
     sides = F.array_sort(F.array_distinct(F.flatten(F.transform("i", lambda i: F.array(i - 1, i + 1)))))
-    holds = lambda i: (i >= 0) & (i < F.size("c")) & functools.reduce(lambda a, b: a | b, (_hit(t, *_beside(kind, i)) for kind, t in tables.items()))
+    tables = {kind: [r.pattern for r in rows if r.kind == kind] for kind in sorted({r.kind for r in rows})}
+    holds = lambda i: (i >= 0) & (i < F.size("c")) & functools.reduce(lambda a, b: a | b, (_hit(t, _number(kind, i)) for kind, t in tables.items()))
     return [pieces, F.when(F.size("i") > 0, F.filter(sides, holds)).otherwise(F.col("i"))]
 
 
 def _holding(hashes: list[int]) -> list[Column]:
     """The places whose core has one of the hashes."""
-    return [F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: _hit(hashes, F.rtrim(F.ltrim(F.get("c", i), F.lit(LEAD)), F.lit(TRAIL))))]
+    return [F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: _hit(hashes, F.xxhash64(F.rtrim(F.ltrim(F.get("c", i), F.lit(LEAD)), F.lit(TRAIL)))))]
 
 
 def _contexts(places: DataFrame) -> DataFrame:
@@ -316,9 +317,7 @@ def discover(texts: DataFrame, places: DataFrame, *ids: str, rounds: int = 3, co
             fresh = materialize(fresh.join(F.broadcast(hopeless), "pattern", "left_anti"), "pii_fresh")
             if fresh.isEmpty():
                 break
-        tables = _tables(fresh) if few else {}
-        near = [r.h for r in fresh.select(F.xxhash64("near").alias("h")).distinct().collect()] if few else []
-        spots = _occurrences(texts, _named(near, tables) if few else None, *ids).withColumn("_n", F.monotonically_increasing_id())
+        spots = _occurrences(texts, _named(fresh) if few else None, *ids).withColumn("_n", F.monotonically_increasing_id())
         spots = spots.select(*ids, "_n", "start", "stop", "match", F.explode("patterns").alias("x")).filter("x is not null").select(*ids, "_n", "start", "stop", "match", "x.*")
         spots = materialize(spots.join(bounded(fresh.select(*PATTERN, "pattern")), PATTERN).drop(*PATTERN), "pii_spots")
         mine = materialize(uses.withColumn("pattern", F.xxhash64(*PATTERN)).join(seeds, "match", "left_semi").groupBy("pattern", "match").agg(F.count("*").alias("n")), "pii_mine")
