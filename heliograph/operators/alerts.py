@@ -112,6 +112,11 @@ class Machine:
     def quiet(self, at: int) -> bool:
         return any(a <= at < b for a, b in self.silences) or any(m.covers(at, self.rule.severity) for m in self.maintenance)
 
+    def acknowledge(self) -> None:
+        """No repeats and no escalation until the rule resolves; of no effect unless it fires."""
+        if self.state.state == "Firing":
+            self.state.acknowledged = True
+
     def step(self, at: int, value: float) -> list[Notice]:
         """The notices of one evaluation; while silenced they are not sent, but states move on."""
         r, s, out = self.rule, self.state, []
@@ -144,12 +149,28 @@ class Machine:
         return [] if self.quiet(at) else out
 
 
-def timeline(values: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
-    """values: rule, at (seconds), value. One row per evaluation: its state and notices; one task per rule."""
+def ticks(values: DataFrame, every: int, empty: float = 0.0) -> DataFrame:
+    """values (rule, at, value) with a row for each tick between a rule's first and last, `empty` where none was
+    measured: a rule is evaluated, and may resolve, when nothing happens."""
+    ends = values.groupBy("rule").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    axis = ends.select("rule", F.explode(F.sequence("lo", "hi", F.lit(every).cast("bigint"))).alias("at"))
+    return axis.join(values, ["rule", "at"], "left").select("rule", "at", F.coalesce("value", F.lit(empty)).alias("value"))
+
+
+def timeline(values: DataFrame, rules: Mapping[str, Rule], silences: Mapping[str, Iterable[tuple[int, int]]] | None = None, maintenance: Iterable[Maintenance] = (), acknowledged: Mapping[str, Iterable[int]] | None = None) -> DataFrame:
+    """values: rule, at (seconds), value. One row per evaluation: its state and notices; one task per rule.
+    silences: by rule, from and until; acknowledged: by rule, the times at which someone took it over (in effect
+    from the next evaluation until the rule resolves)."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        machine = Machine(rules[group["rule"].iloc[0]])
+        rule = group["rule"].iloc[0]
+        machine = Machine(rules[rule], tuple((silences or {}).get(rule, ())), tuple(maintenance))
+        marks = sorted((acknowledged or {}).get(rule, ()))
         out = []
         for row in group.sort_values("at").itertuples(index=False):
+            while marks and marks[0] <= row.at:
+                machine.acknowledge()
+                marks.pop(0)
             notices = machine.step(int(row.at), float(row.value))
             out.append((row.rule, int(row.at), float(row.value), machine.state.state, ",".join(n.kind for n in notices)))
         return pd.DataFrame(out, columns=["rule", "at", "value", "state", "notices"])
@@ -187,6 +208,15 @@ def retained(logs: DataFrame, now, ttl: Mapping[str, int] = TTL_DAYS, default: i
     return logs.filter(~expired(now, ttl, default))
 
 
+#: Days that metric points and spans stay (fixed values).
+METRIC_DAYS, SPAN_DAYS = 30, 14
+
+
+def retained_points(rows: DataFrame, now_ns: int, days: int = METRIC_DAYS, time: str = "ts_ns") -> DataFrame:
+    """Points (spans: time="start_ns", days=SPAN_DAYS) that are no older than the days."""
+    return rows.filter(F.col(time) >= now_ns - days * 86_400_000_000_000)
+
+
 def expired(now, ttl: Mapping[str, int] = TTL_DAYS, default: int = 90) -> F.Column:
     days = F.lit(default)
     for level, n in ttl.items():

@@ -51,10 +51,11 @@ def series(points: DataFrame, name: str, labels: Mapping[str, str] | None = None
 
 
 def deduplicate(rows: DataFrame) -> DataFrame:
-    """One point for each series and time: the one of the largest value, count and sum (later ones of a running
-    count are never smaller)."""
-    rest = [c for c in rows.columns if c not in ("name", "key", "ts_ns", "labels")]
-    order = F.struct(*(F.coalesce(F.col(c), F.lit(0)) for c in ("value", "count", "sum")))
+    """One point for each series and time: the last to arrive, by the column `seq` where there is one (ties, and
+    tables without it: the one of the largest value, count and sum, which a running count's last one is)."""
+    rest = [c for c in rows.columns if c not in ("name", "key", "ts_ns", "labels", "seq")]
+    first = [F.coalesce(F.col("seq"), F.lit(-1)).alias("seq")] if "seq" in rows.columns else []
+    order = F.struct(*first, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("value", "count", "sum")))
     out = rows.groupBy("name", "key", "ts_ns").agg(F.max_by(F.struct("labels", *rest), order).alias("_r"))
     return out.select("name", "key", "ts_ns", "_r.*")
 
@@ -131,10 +132,13 @@ def bucket_deltas(rows: DataFrame) -> DataFrame:
 
 def _summed(rows: DataFrame) -> DataFrame:
     """Buckets summed by group and time. Only series with as many buckets as the group's first (by key) count."""
-    first = rows.groupBy("group").agg(F.min_by(F.struct("bounds", F.size("buckets").alias("size")), "key").alias("f"))
-    rows = rows.join(first, "group").filter(F.size("buckets") == F.col("f.size")).withColumn("bounds", F.col("f.bounds"))
-    each = rows.select("group", "ts_ns", "bounds", F.posexplode("deltas").alias("b", "d")).groupBy("group", "ts_ns", "b").agg(F.first("bounds").alias("bounds"), F.sum("d").alias("d"))
-    return each.groupBy("group", "ts_ns").agg(F.first("bounds").alias("bounds"), F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]).alias("deltas"))
+    # sums by shape first, so that the shape of the group's first series is chosen among a few rows a time
+    each = rows.select("group", "ts_ns", "key", "bounds", F.size("buckets").alias("size"), F.posexplode("deltas").alias("b", "d"))
+    sums = each.groupBy("group", "ts_ns", "size", "b").agg(F.min(F.struct("key", "bounds")).alias("f"), F.sum("d").alias("d"))
+    shape = sums.groupBy("group", "ts_ns", "size").agg(F.min("f").alias("f"), F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]).alias("deltas"))
+    first = F.min(F.struct("f", "size")).over(Window.partitionBy("group"))
+    shape = shape.withColumn("_first", first).filter(F.col("size") == F.col("_first.size"))
+    return shape.select("group", "ts_ns", F.col("_first.f.bounds").alias("bounds"), "deltas")
 
 
 def histogram_quantile(q: float, bounds: str = "bounds", counts: str = "deltas") -> Column:

@@ -23,9 +23,13 @@ def is_root() -> Column:
 
 
 def deduplicate(spans: DataFrame) -> DataFrame:
-    """One row for each span of a trace; spans without an id all stay."""
-    named = F.coalesce(F.col("span_id"), F.lit("")) != ""
-    return spans.filter(named).dropDuplicates(["trace_id", "span_id"]).unionByName(spans.filter(~named))
+    """One row for each span of a trace: of several the earliest, shortest and first by name and service; spans
+    without an id all stay. One aggregate; a span without an id is a group of its own."""
+    rest = [c for c in spans.columns if c not in ("trace_id", "span_id")]
+    order = F.struct(*(c for c in ("start_ns", "duration_ns", "name", "service", "status", "http_status", "parent_span_id") if c in rest))
+    own = F.when(F.coalesce(F.col("span_id"), F.lit("")) == "", F.monotonically_increasing_id())
+    kept = spans.withColumn("_own", own).groupBy("trace_id", "span_id", "_own").agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return kept.select("trace_id", "span_id", "_r.*").select(*spans.columns)
 
 
 def summaries(spans: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ def traceql(spans: DataFrame, query: str, limit: int = 100) -> DataFrame:
 
 
 def search_spans(spans: DataFrame, query: str = "{}", limit: int = 100) -> DataFrame:
-    return spans.filter(compile_traceql(query)).orderBy(F.col("start_ns").desc(), "span_id").limit(limit)
+    return spans.filter(compile_traceql(query)).orderBy(F.col("start_ns").desc(), "span_id", "trace_id", "duration_ns").limit(limit)
 
 
 def get_trace(spans: DataFrame, trace_id: str) -> DataFrame:
@@ -89,6 +93,14 @@ def compare_traces(spans: DataFrame, a: str, b: str) -> DataFrame:
     return get_trace(spans, a).withColumn("side", F.lit("a")).unionByName(get_trace(spans, b).withColumn("side", F.lit("b")))
 
 
+def exemplar_spans(exemplars: DataFrame, spans: DataFrame) -> DataFrame:
+    """Exemplars (of metrics.exemplars) with the name, service and duration of the span that each points to; nulls
+    where there is no such span. Exemplars are few: spans are filtered by them before they are de-duplicated."""
+    wanted = exemplars.select("trace_id", "span_id").distinct()
+    met = deduplicate(spans.join(wanted, ["trace_id", "span_id"], "left_semi")).select("trace_id", "span_id", "name", "service", "duration_ns", "status")
+    return exemplars.join(met, ["trace_id", "span_id"], "left")
+
+
 # ------------------------------------------------------------------ durations
 
 
@@ -173,21 +185,28 @@ def graph_nodes(spans: DataFrame) -> DataFrame:
 
 
 def self_time(spans: DataFrame) -> DataFrame:
-    """Each span's duration, that of its children, and what is its own (not below 0), in milliseconds."""
-    children = spans.filter(~is_root()).groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.sum("duration_ns").alias("inner_ns"))
-    total, inner = F.col("duration_ns"), F.coalesce("inner_ns", F.lit(0))
-    return spans.join(children, ["trace_id", "span_id"], "left").select("trace_id", "span_id", "name", "service", F.bround(total / MS, 3).alias("total_ms"), F.bround(F.greatest(F.lit(0), total - inner) / MS, 3).alias("self_ms"))
+    """Each span's duration, that of its children, and what is its own (not below 0), in milliseconds. spans:
+    de-duplicated. Each span goes once to its own place and once to its parent's, so that one aggregate does."""
+    none = F.lit(None)
+    own = F.struct(F.col("span_id").alias("at"), F.when(F.coalesce(F.col("span_id"), F.lit("")) == "", F.monotonically_increasing_id()).alias("row"), F.struct("name", "service", "duration_ns").alias("own"), none.cast("bigint").alias("inner"))
+    up = F.struct(F.col("parent_span_id").alias("at"), none.cast("bigint").alias("row"), none.cast(spans.select(F.struct("name", "service", "duration_ns").alias("own")).schema["own"].dataType).alias("own"), F.col("duration_ns").alias("inner"))
+    each = spans.select("trace_id", F.explode(F.when(is_root(), F.array(own)).otherwise(F.array(own, up))).alias("x")).select("trace_id", "x.*")
+    met = each.groupBy("trace_id", "at", "row").agg(F.max("own").alias("own"), F.sum("inner").alias("inner")).filter("own is not null")
+    total = F.col("own.duration_ns")
+    return met.select("trace_id", F.col("at").alias("span_id"), "own.name", "own.service", F.bround(total / MS, 3).alias("total_ms"), F.bround(F.greatest(F.lit(0), total - F.coalesce("inner", F.lit(0))) / MS, 3).alias("self_ms"))
 
 
 def flamegraph(spans: DataFrame, trace_id: str, deepest: int = 64) -> DataFrame:
     """One trace's spans by depth; a span whose parent is not there is a root. root names each span's root."""
-    one = get_trace(spans, trace_id).select("span_id", "parent_span_id", "name", "service", "start_ns", "duration_ns")
-    view = "heliograph_flame"
-    one.createOrReplaceTempView(view)
-    tree = one.sparkSession.sql(f"""
+    one = get_trace(spans, trace_id)
+    # the frame is passed by name, so that no view stays and two calls cannot meet
+    tree = one.sparkSession.sql(
+        f"""
         WITH RECURSIVE tree(span_id, root, depth) MAX RECURSION LEVEL {deepest} AS (
-          SELECT s.span_id, s.span_id, 0 FROM {view} s LEFT ANTI JOIN {view} p ON s.parent_span_id = p.span_id
+          SELECT s.span_id, s.span_id, 0 FROM {{one}} s LEFT ANTI JOIN {{one}} p ON s.parent_span_id = p.span_id
           UNION ALL
-          SELECT c.span_id, t.root, t.depth + 1 FROM tree t JOIN {view} c ON c.parent_span_id = t.span_id)
-        SELECT * FROM tree""")
-    return tree.join(self_time(spans.filter(F.col("trace_id") == trace_id.lower())), "span_id").orderBy("root", "depth", "span_id")
+          SELECT c.span_id, t.root, t.depth + 1 FROM tree t JOIN {{one}} c ON c.parent_span_id = t.span_id)
+        SELECT * FROM tree""",
+        one=one.select("span_id", "parent_span_id"),
+    )
+    return tree.join(self_time(one), "span_id").orderBy("root", "depth", "span_id")

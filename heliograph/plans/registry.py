@@ -51,6 +51,7 @@ hourly AS (SELECT service, type, (ts_ns // 3600000000000) * 3600000000000 AS ts_
 KEY = """'[{{"key":"service","value":"' || service || '"}},{{"key":"type","value":"' || type || '"}}]'""".replace("{{", "{").replace("}}", "}")
 BY_TYPE = """'[{"key":"type","value":"' || type || '"}]'"""
 EDGES = ", ".join(str(x) for x in traces.EDGES_MS)
+DEDUP = "QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY start_ns, duration_ns, name, service, status, http_status, parent_span_id NULLS FIRST) = 1"
 
 
 def register(name: str, sql: str | None = None):
@@ -128,6 +129,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return logs.of_trace(schema.logs(spark, sf), "5".rjust(32, "0")).select("id", "mt")
 
 
+@register("logs_by_span", f"WITH {LOGS} SELECT id, mt FROM logs WHERE id = 10")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.of_span(schema.logs(spark, sf), "a".rjust(16, "0")).select("id", "mt")
+
+
 @register("logs_rendered", f"WITH {LOGS} SELECT id, 'User ' || user_id || ' ' || event_type AS message FROM logs")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return logs.render(schema.logs(spark, sf)).select("id", "message")
@@ -219,22 +225,32 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return traces.graph_nodes(schema.spans(spark, sf)).select("service", "spans", F.round("error_rate", 6).alias("error_rate"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
-@register("trace_flame_self_time", f"WITH {SPANS}, u AS (SELECT DISTINCT ON (trace_id, span_id) * FROM spans) SELECT s.trace_id, s.span_id, s.name, round_even(s.duration_ns / 1000000, 3) AS total_ms, round_even(greatest(0, s.duration_ns - coalesce(i.d, 0)) / 1000000, 3) AS self_ms FROM u s LEFT JOIN (SELECT trace_id, parent_span_id, sum(duration_ns) AS d FROM u GROUP BY ALL) i ON i.trace_id = s.trace_id AND i.parent_span_id = s.span_id")
+@register("trace_flame_self_time", f"WITH {SPANS}, u AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY start_ns, duration_ns, name, service, status, http_status, parent_span_id NULLS FIRST) = 1) SELECT s.trace_id, s.span_id, s.name, round_even(s.duration_ns / 1000000, 3) AS total_ms, round_even(greatest(0, s.duration_ns - coalesce(i.d, 0)) / 1000000, 3) AS self_ms FROM u s LEFT JOIN (SELECT trace_id, parent_span_id, sum(duration_ns) AS d FROM u GROUP BY ALL) i ON i.trace_id = s.trace_id AND i.parent_span_id = s.span_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    out = traces.self_time(traces.deduplicate(schema.spans(spark, sf)))
+    out = traces.self_time(traces.deduplicate(schema.spans(spark, sf).drop("attrs", "kind")))
     return out.select("trace_id", "span_id", "name", F.round("total_ms", 3).alias("total_ms"), F.round("self_ms", 3).alias("self_ms"))
 
 
-@register("trace_depth", f"WITH {SPANS} SELECT span_id, CASE WHEN parent_span_id IS NULL THEN 0 ELSE 1 END AS depth FROM spans WHERE trace_id = lpad('1', 32, '0')")
+@register("trace_depth", f"WITH {SPANS} SELECT span_id, CASE WHEN parent_span_id IS NULL THEN 0 ELSE 1 END AS depth FROM spans WHERE trace_id = lpad('1', 32, '0') QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY start_ns, duration_ns, name, service, status, http_status, parent_span_id NULLS FIRST) = 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return traces.flamegraph(schema.spans(spark, sf), "1".rjust(32, "0")).select("span_id", "depth")
 
 
-@register("trace_get", f"WITH {SPANS} SELECT span_id, name, service, duration_ns FROM spans WHERE trace_id = lpad('2', 32, '0')")
+@register("trace_get", f"WITH {SPANS} SELECT span_id, name, service, duration_ns FROM spans WHERE trace_id = lpad('2', 32, '0') QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY start_ns, duration_ns, name, service, status, http_status, parent_span_id NULLS FIRST) = 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return traces.get_trace(schema.spans(spark, sf), "2".rjust(32, "0")).select("span_id", "name", "service", "duration_ns")
 
 
+@register("trace_compare", f"WITH {SPANS}, u AS (SELECT * FROM spans {DEDUP}) SELECT 'a' AS side, span_id, name, duration_ns FROM u WHERE trace_id = lpad('2', 32, '0') UNION ALL SELECT 'b', span_id, name, duration_ns FROM u WHERE trace_id = lpad('5', 32, '0')")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return traces.compare_traces(schema.spans(spark, sf), "2".rjust(32, "0"), "5".rjust(32, "0")).select("side", "span_id", "name", "duration_ns")
+
+
+@register("span_search", f"WITH {SPANS} SELECT trace_id, span_id, name, duration_ns FROM spans WHERE status = 2 AND duration_ns > 2000000 AND name = 'line F' ORDER BY start_ns DESC, span_id, trace_id, duration_ns LIMIT 100")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return traces.search_spans(schema.spans(spark, sf), '{ status = error && duration > 2ms && name = "line F" }', 100).select("trace_id", "span_id", "name", "duration_ns")
+
+
 # ------------------------------------------------------------------ metrics
 
 
@@ -329,10 +345,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @register("alert_state_timeline")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     hourly = schema.logs(spark, sf).filter(compile_filter("Error")).groupBy((F.floor(F.unix_seconds("ts") / HOUR) * HOUR).alias("at")).count()
-    values = hourly.select(F.lit("errors").alias("rule"), "at", F.col("count").cast("double").alias("value"))
+    values = alerts.ticks(hourly.select(F.lit("errors").alias("rule"), "at", F.col("count").cast("double").alias("value")), HOUR)
     return alerts.timeline(values, {"errors": alerts.Rule("errors", ">", 2, for_s=HOUR, repeat_s=6 * HOUR, escalate_s=12 * HOUR)})
 
 
+@register("alert_ticks", f"WITH {LOGS}, h AS (SELECT epoch_us(ts) // 3600000000 AS h, count(*) AS n FROM logs WHERE level_name = 'Error' GROUP BY 1) SELECT 'errors' AS rule, x.h * 3600 AS at, coalesce(n, 0)::DOUBLE AS value FROM (SELECT unnest(generate_series((SELECT min(h) FROM h), (SELECT max(h) FROM h))) AS h) x LEFT JOIN h USING (h)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    hourly = schema.logs(spark, sf).filter(compile_filter("Error")).groupBy((F.floor(F.unix_seconds("ts") / HOUR) * HOUR).alias("at")).count()
+    return alerts.ticks(hourly.select(F.lit("errors").alias("rule"), "at", F.col("count").cast("double").alias("value")), HOUR)
+
+
+@register("retention_metrics", f"SELECT count(*) AS n FROM events WHERE epoch_us(ts) * 1000 >= {_NOW_NS - 7 * DAY * 10**9}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    points = schema.metrics(spark, sf).filter("name = 'event.value'")
+    return alerts.retained_points(points, _NOW_NS, days=7).agg(F.count("*").alias("n"))
+
+
 @register("retention_expired_by_level", f"WITH {LOGS} SELECT level_name, count(*) AS n FROM logs WHERE floor(epoch_us(ts) / 1000000) + CASE level_name WHEN 'Debug' THEN 3 ELSE 20 END * 86400 < epoch_us(TIMESTAMP '{NOW}') / 1000000 GROUP BY 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return schema.logs(spark, sf).filter(alerts.expired(NOW, default=20)).groupBy("level_name").agg(F.count("*").alias("n"))

@@ -1,6 +1,8 @@
 """The languages and operators over small fixtures."""
 
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +158,68 @@ def test_tail_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("tailed").count() == 1
+
+
+def test_written_tables_prune(spark, tmp_path):
+    """Readers give back what was written, and days, levels and names become partition filters."""
+    from heliograph.sources import schema
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    logs, spans, points = schema.logs(spark, sf), schema.spans(spark, sf), schema.metrics(spark, sf)
+    sinks.write_logs(logs, str(tmp_path / "l"))
+    sinks.write_spans(spans, str(tmp_path / "s"))
+    sinks.write_metrics(points, str(tmp_path / "m"))
+
+    def rows(df, *columns):
+        return sorted(map(str, df.select(*columns).collect()))
+
+    def plan(df):
+        return df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    shown = ("id", "ts", "level_name", "props_json", "search_text", "tr")
+    assert rows(sinks.read_logs(spark, str(tmp_path / "l"), deep=False), *shown) == rows(logs, *shown)
+    day = ("2024-01-05 00:00:00", "2024-01-06 12:00:00")
+    got = sinks.read_logs(spark, str(tmp_path / "l"), *day, levels=["error", "WARNING"], deep=False)
+    want = logs.filter(F.col("ts").between(*(F.lit(x).cast("timestamp") for x in day))).filter("level_name in ('Error', 'Warning')")
+    assert rows(got, *shown) == rows(want, *shown) and got.count()
+    filters = re.search(r"PartitionFilters: \[(.*)\]", plan(got))[1]
+    assert "date" in filters and "level_name" in filters
+    ends = spans.agg(F.min("start_ns"), F.max("start_ns")).first()
+    middle = (ends[0] + ends[1]) // 2
+    shown = ("trace_id", "span_id", "start_ns", "duration_ns", F.to_json("attrs").alias("attrs"))
+    got = sinks.read_spans(spark, str(tmp_path / "s"), middle)
+    assert rows(got, *shown) == rows(spans.filter(F.col("start_ns") >= middle), *shown)
+    assert "date" in re.search(r"PartitionFilters: \[(.*)\]", plan(got))[1]
+    got = sinks.read_metrics(spark, str(tmp_path / "m"), "EVENT.size")
+    shown = ("name", "ts_ns", "count", "buckets")
+    assert rows(got, *shown) == rows(points.filter("name = 'event.size'"), *shown) and "metric" in plan(got)
+
+
+def test_deduplication_is_ordered(spark):
+    """Of several spans of one id the earliest stays; of several points the last to arrive."""
+    shape = "trace_id string, span_id string, parent_span_id string, start_ns bigint, duration_ns bigint, name string, service string, status int, http_status int"
+    rows = [("t", "a", None, 5, 1, "late", "s", 0, 0), ("t", "a", None, 3, 9, "early", "s", 0, 0), ("t", "", None, 1, 1, "x", "s", 0, 0), ("t", "", None, 1, 1, "x", "s", 0, 0), ("t", None, None, 1, 1, "y", "s", 0, 0)]
+    got = traces.deduplicate(spark.createDataFrame(rows, shape))
+    assert sorted(r.name for r in got.collect()) == ["early", "x", "x", "y"]
+    points = spark.createDataFrame([("m", "k", 1, {"a": "b"}, v, None, None, q) for v, q in ((9.0, 0), (2.0, 2), (5.0, 1))], "name string, key string, ts_ns bigint, labels map<string,string>, value double, count bigint, sum double, seq bigint")
+    assert [r.value for r in metrics.deduplicate(points).collect()] == [2.0]
+
+
+def test_ticks_silences_and_acknowledgement(spark):
+    """A rule resolves on a tick without a value; an acknowledged one neither repeats nor escalates; a silence hides notices."""
+    values = spark.createDataFrame([("r", t, 9.0) for t in (0, 60, 120, 240, 300, 360)], "rule string, at bigint, value double")
+    rule = alerts.Rule("r", ">", 1, repeat_s=60, escalate_s=60)
+    dense = alerts.ticks(values, 60)
+    assert [r.value for r in dense.orderBy("at").collect()] == [9.0, 9.0, 9.0, 0.0, 9.0, 9.0, 9.0]
+    run = lambda **k: [(r.at, r.notices) for r in alerts.timeline(dense, {"r": rule}, **k).orderBy("at").collect()]
+    assert run() == [(0, "Firing"), (60, "Repeat,Escalation"), (120, "Repeat"), (180, "Ok"), (240, "Firing"), (300, "Repeat,Escalation"), (360, "Repeat")]
+    assert run(acknowledged={"r": [50]}) == [(0, "Firing"), (60, ""), (120, ""), (180, "Ok"), (240, "Firing"), (300, "Repeat,Escalation"), (360, "Repeat")]
+    assert run(silences={"r": [(100, 300)]}) == [(0, "Firing"), (60, "Repeat,Escalation"), (120, ""), (180, ""), (240, ""), (300, "Repeat,Escalation"), (360, "Repeat")]
+
+
+def test_exemplars_lead_to_spans(spark):
+    spans = spark.createDataFrame([("t", "a", None, 5, 7, "op", "s", 0, 0)], "trace_id string, span_id string, parent_span_id string, start_ns bigint, duration_ns bigint, name string, service string, status int, http_status int")
+    found = spark.createDataFrame([(1, 2.0, "t", "a"), (2, 3.0, "u", "b")], "ts_ns bigint, value double, trace_id string, span_id string")
+    assert sorted((r.ts_ns, r.name) for r in traces.exemplar_spans(found, spans).collect()) == [(1, "op"), (2, None)]
