@@ -3,7 +3,9 @@
 A text's features are the presence of its character 3-, 4- and 5-grams (a-z and A-Z folded),
 hashed into 2**20 buckets. On the training rows each bucket gets the log ratio of its smoothed
 document frequency among toxic rows to that among clean rows; the buckets whose ratio is most
-significant are kept, and a ridge logistic regression is fitted on presence x ratio. Every whole
+significant are kept, and a ridge logistic regression is fitted on presence x ratio. How many are kept is
+chosen among `keep` by the loss on a fifth of the training rows (by hash of the text, so that copies stay
+together) that a first fit does not see; ties go to fewer. Every whole
 text is scored in one pass without a shuffle; the model (a table of 2**20 floats) is broadcast.
 
 Only the fit sees a bounded sample: at most `max_rows` labelled rows of each class, those with
@@ -64,7 +66,7 @@ def _hits(run: TextBatch, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs // BUCKETS, pairs % BUCKETS
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int = 1000, ridge: float = 1e-3, steps: int = 300) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: tuple[int, ...] = (300, 1000, 2000), ridge: float = 1e-3, steps: int = 300) -> Model:
     """Fit on labelled rows. labels: doc_id and toxic (1 or 0; other values and nulls are left out;
     of repeated rows the largest counts). Without rows of both classes every score is the base rate,
     0.5 at no rows."""
@@ -72,7 +74,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = clean.filter("toxic = 1").orderBy(*order).limit(max_rows).unionByName(clean.filter("toxic = 0").orderBy(*order).limit(max_rows))
     # at most 2 * max_rows rows of two numbers: broadcast, so that no text is shuffled
-    rows = with_text(documents, "doc_id").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    part = (F.pmod(F.xxhash64(F.col("text"), F.lit(7)), F.lit(5)) == 0).cast("int")
+    rows = with_text(documents, "doc_id").join(F.broadcast(chosen), "doc_id").select((F.col("toxic") + 2 * part).cast("int").alias("toxic"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = np.ones(BUCKETS, bool)
@@ -87,30 +90,29 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int
     table = materialize(rows.mapInArrow(extract, "toxic int, buckets binary"), "toxicity_rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+        sums, n = np.zeros((4, BUCKETS), np.int32), np.zeros(4, np.int64)  # by toxic + 2 where the row is held for the choice
         for batch in batches:
             for t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sums[t, np.frombuffer(b, np.int32)] += 1  # a row's buckets are distinct
                 n[t] += 1
         used = np.flatnonzero(sums.any(0)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in n] + [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (used, sums[0, used], sums[1, used])], ["n0", "n1", "used", "s0", "s1"])
-
-    seen, in_class = np.zeros(2), np.zeros((2, BUCKETS), np.int64)
-    for r in table.coalesce(4).mapInArrow(count, "n0 bigint, n1 bigint, used binary, s0 binary, s1 binary").toLocalIterator():
-        seen += (r.n0, r.n1)
-        for t, c in enumerate((r.s0, r.s1)):
-            in_class[t, np.frombuffer(r.used, np.int32)] += np.frombuffer(c, np.int32)
-    n_neg, n_pos = seen
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([used.tobytes()], pa.binary()), pa.array([sums[:, used].tobytes()], pa.binary())], ["n", "used", "sums"])
+
+    seen, in_class = np.zeros(4, np.int64), np.zeros((4, BUCKETS), np.int32)  # a bucket has one count a row at most
+    for r in table.coalesce(4).mapInArrow(count, "n binary, used binary, sums binary").toLocalIterator():
+        seen += np.frombuffer(r.n, np.int64)
+        used = np.frombuffer(r.used, np.int32)
+        in_class[:, used] += np.frombuffer(r.sums, np.int32).reshape(4, -1)
+    n_neg, n_pos = seen[0] + seen[2], seen[1] + seen[3]
     if not (n_neg and n_pos):
         rate = (n_pos + 1) / (seen.sum() + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
-    in_neg, in_pos = in_class
-    p, q = (in_pos + 1) / (n_pos + 2), (in_neg + 1) / (n_neg + 2)
-    ratio = np.log(p / q)
-    sure = np.abs(ratio) / np.sqrt(1 / (in_pos + 1) + 1 / (in_neg + 1))
-    best = np.argsort(-sure, kind="stable")[:keep]
+    whole = _surest(in_class[0] + in_class[2], in_class[1] + in_class[3], n_neg, n_pos, max(keep))
+    choose = bool(len(keep) > 1 and seen.all())
+    inner = _surest(in_class[0], in_class[1], seen[0], seen[1], max(keep)) if choose else whole
+    both = np.union1d(whole[0], inner[0])
     slot = np.full(BUCKETS, -1, np.int32)
-    slot[best] = np.arange(len(best))
+    slot[both] = np.arange(len(both))
     held = documents.sparkSession.sparkContext.broadcast(slot)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +122,43 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int
 
     got = table.mapInArrow(kept, "toxic int, slots binary").collect()
     got.sort(key=lambda r: (r.toxic, bytes(r.slots)))  # the same model whatever order the rows came in
-    y = np.array([r.toxic for r in got], np.float64)
+    mark = np.array([r.toxic for r in got], np.int64)
     cols = [np.frombuffer(r.slots, np.int32) for r in got]
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols)
-    r = ratio[best]
+    col = both[np.concatenate(cols)] if cols else np.zeros(0, np.int64)
+    size = max(keep)
+    if choose:
+        train, rest = mark < 2, mark >= 2
+        losses = []
+        for k in sorted(keep):
+            weight, bias = _regress(row, col, mark % 2, train, inner[0][:k], inner[1][:k], ridge, steps)
+            z = np.clip(np.bincount(row, weights=weight[col], minlength=len(mark)) + bias, -40, 40)[rest]
+            y = mark[rest] % 2
+            loss = np.log1p(np.exp(-np.where(y == 1, z, -z)))
+            losses.append((round(float(loss[y == 1].mean() + loss[y == 0].mean()), 6), k))
+        size = min(losses)[1]
+    weight, bias = _regress(row, col, mark % 2, np.ones(len(mark), bool), whole[0][:size], whole[1][:size], ridge, steps)
+    return Model(weight.astype(np.float32), float(bias))
+
+
+def _surest(in_neg: np.ndarray, in_pos: np.ndarray, n_neg: int, n_pos: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the most significant log-count ratios, the surest first, and their ratios."""
+    ratio = np.log((in_pos + 1) / (n_pos + 2)) - np.log((in_neg + 1) / (n_neg + 2))
+    sure = np.abs(ratio) / np.sqrt(1 / (in_pos + 1) + 1 / (in_neg + 1))
+    best = np.argsort(-sure, kind="stable")[:keep]
+    return best, ratio[best]
+
+
+def _regress(row: np.ndarray, col: np.ndarray, y: np.ndarray, used: np.ndarray, best: np.ndarray, r: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weight of each bucket and the bias: a logistic regression of y on presence (row, col) x ratio r of the
+    buckets `best`, over the used rows, both classes weighing the same."""
+    slot = np.full(BUCKETS, -1, np.int64)
+    slot[best] = np.arange(len(best))
+    inside = (slot[col] >= 0) & used[row]
+    row, col = row[inside], slot[col[inside]]
     w, bias = np.zeros(len(best)), 0.0
     m_w, v_w, m_b, v_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    balance = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg)
+    balance = np.where(y == 1, 0.5 / max(1, (y[used] == 1).sum()), 0.5 / max(1, (y[used] == 0).sum())) * used
     for t in range(1, steps + 1):
         z = np.bincount(row, weights=(w * r)[col], minlength=len(y)) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
@@ -138,9 +169,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, keep: int
         a, c = 1 - 0.9**t, 1 - 0.999**t
         w -= 0.02 * (m_w / a) / (np.sqrt(v_w / c) + 1e-8)
         bias -= 0.02 * (m_b / a) / (np.sqrt(v_b / c) + 1e-8)
-    weight = np.zeros(BUCKETS, np.float32)
+    weight = np.zeros(BUCKETS)
     weight[best] = w * r
-    return Model(weight, float(bias))
+    return weight, bias
 
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
