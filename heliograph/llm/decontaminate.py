@@ -1,25 +1,30 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Every text is a row of words: runs of characters other than ASCII separators, A-Z folded. Each run of
-`k` words has a hash, and of every `window - k + 1` neighbouring hashes the least is a fingerprint, so
-any `window` words in a row hold a fingerprint, the same one in every text that has these words.
-Training fingerprints meet the benchmark's; each hit is extended to the windows around it, whose words
-are compared by a 64-bit hash of them all. So every shared run of `window` words is found.
-
-An item of fewer than `window` words, but not none, is one run of its own length; all runs of these
-lengths are compared (there are at most `window - 1` such lengths).
-
-The benchmark's fingerprints are broadcast only if its runs number at most `small`: as a table of bits
-that k-grams are first looked up in, then as rows. Beyond that all windows are shuffled by fingerprint. A null text has no words; a repeated row gets its own result; rows are
-told apart by doc_id and the text's hash, null ids included.
+`k` words has a hash, and of every `window - k + 1` neighbouring hashes the least (of equal ones the last)
+is a fingerprint, kept once however many windows share it: about two in five positions. Which it is
+depends on the window's words alone, so any `window` words that two texts share in a row hold a
+fingerprint at the same place in both. Training and benchmark fingerprints are joined; each hit is
+extended word by word to either side, the words themselves are compared, and it counts if `window`
+words match. So every shared run of `window` words is found, and nothing else.
+
+An item of fewer than `window` words, but not none, is one run of its own length (there are at most
+`window - 1` such lengths): such runs are looked up by hash and joined on their words.
+
+The benchmark's fingerprints are looked up in a table of bits, then broadcast, only if they number at most
+`small`; beyond that training fingerprints are joined by a shuffle. Items that share a passage are one row
+of it until the end. A null text has no words; very long texts are walked once; a repeated row gets its
+own result; rows are told apart by doc_id and the text's hash, null ids included. Empty tables give no hits.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialize, read_table
+from heliograph.llm.common import bitmap, held, materialize, read_table
 
 WINDOW = 8
 K = 5
@@ -38,92 +43,109 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(fold(F.coalesce(text.cast("string"), F.lit(""))), _BETWEEN), "")
 
 
-def _grams(column: str, length: int, upto: int) -> Column:
-    """The hash of each run of `length` elements of an array of hashes, for an array of `upto` elements or more.
+def _gram(i: Column, length: int) -> Column:
+    """The hash of the words from place i."""
+    return F.xxhash64(*(F.get("v", i + j) for j in range(length)))
 
-    Elements are read one by one: slice() would copy the whole array at each step."""
-    return F.transform(F.sequence(F.lit(0), F.size(column) - upto), lambda i: F.xxhash64(*(F.get(column, i + j) for j in range(length))))
 
+def _marked(marks: list[int] | None, h: Column) -> Column:
+    if marks is None:
+        return F.lit(True)
+    table, power = bitmap(marks)
+    word = F.get(table, F.shiftrightunsigned(h, 64 - power).cast("int"))
+    return F.call_function("bit_get", word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def _gram(column: str, i: Column, length: int) -> Column:
-    return F.xxhash64(*(F.get(column, i + j) for j in range(length)))
 
+def _places(last: Column) -> Column:
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-def _bitmap(marks: list[int]) -> tuple[Column, int]:
-    """A table of bits, one set for each mark, as one constant, and the number of its words as a power of two."""
-    power = min(16, max(6, (len(marks)).bit_length()))
-    table = [0] * (1 << power)
-    for h in marks:
-        u = h & (2**64 - 1)
-        table[u >> (64 - power)] |= 1 << (u & 63)
-    return F.split(F.lit(",".join(str(x - 2**64 if x >= 2**63 else x) for x in table)), ",").cast("array<bigint>"), power
 
+def _least_of_a_window(i: Column, span: int) -> Column:
+    """Is the hash g[i] the least of some `span` neighbouring ones, the last of equal ones."""
+    own = F.get("g", i)
 
-def _windows(texts: DataFrame, k: int, window: int, ids: list[str], marks: list[int] | None = None) -> DataFrame:
-    """Windows of texts of at least `window` words (w): s (its first word), fp (the least hash of its
-    k-grams, the window's fingerprint) and run (the hash of all its words). With marks, only windows
-    that hold a k-gram whose bit is set, which all windows with one of these fingerprints do.
+    def reach(step: int, left: int) -> Column:
+        """How many neighbours on one side it beats, up to span - 1."""
+        if left == span:
+            return F.lit(0)
+        other = F.get("g", i + step * left)
+        return F.when(other > own if step > 0 else other >= own, F.lit(1) + reach(step, left + 1)).otherwise(F.lit(0))
+
+    return reach(-1, 1) + reach(1, 1) >= span - 1
 
-    In steps: an array that a lambda refers to must be a column, or it is built anew for each element."""
-    rows = texts.filter(F.size("w") >= window)
-    if marks is None:
-        starts = F.sequence(F.lit(0), F.size("w") - window)
-    else:
-        table, power = _bitmap(marks)
-
-        def marked(h: Column) -> Column:
-            word = F.get(table, F.shiftrightunsigned(h, 64 - power).cast("int"))
-            return F.call_function("bit_get", word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-        at = F.filter(F.sequence(F.lit(0), F.size("w") - k), lambda i: marked(_gram("w", i, k)))
-        rows = rows.withColumn("at", at)  # no filter on it: pushed down, it would build w anew for each element
-        around = F.transform("at", lambda i: F.sequence(F.greatest(i - (window - k), F.lit(0)), F.least(i, F.size("w") - window)))
-        starts = F.array_distinct(F.flatten(around))
-    rows = rows.withColumn("starts", starts)
-    found = F.transform("starts", lambda s: F.struct(s.alias("s"), F.least(*(_gram("w", s + j, k) for j in range(window - k + 1))).alias("fp"), _gram("w", s, window).alias("run")))
-    return rows.select(*ids, F.explode(found).alias("m")).select(*ids, "m.s", "m.fp", "m.run")
-
-
-def _hits(documents: DataFrame, benchmark: DataFrame, window: int, k: int, small: int) -> DataFrame:
-    """doc_id, th (the text's hash), s (first word), run, len: every benchmark run in a document."""
-    items = _hashed(benchmark, "item_id").filter(F.size("w") > 0)
-    runs = materialize(_windows(items, k, window, ["item_id"]).select("fp", "run").distinct(), "benchmark_runs")
-    marks = runs.select("fp").distinct()
-    few = runs.count() <= small
-    known = [r.fp for r in marks.collect()] if few else None
-    bounded = F.broadcast if few else (lambda df: df)
-    texts = _hashed(documents.select("doc_id", "text", F.xxhash64("text").alias("th")), "doc_id", "th")
-    met = _windows(texts, k, window, ["doc_id", "th"], known).join(bounded(marks), "fp", "left_semi")
-    found = met.join(bounded(runs), ["fp", "run"], "left_semi").select("doc_id", "th", "s", "run", F.lit(window).alias("len"))
-    short = items.filter(F.size("w") < window)
-    for n in sorted(r.n for r in short.select(F.size("w").alias("n")).distinct().collect()):  # at most window - 1 lengths
-        own = short.filter(F.size("w") == n).select(F.explode(_grams("w", n, n)).alias("run")).distinct()
-        every = texts.filter(F.size("w") >= n).select("doc_id", "th", F.posexplode(_grams("w", n, n)).alias("s", "run"))
-        found = found.unionByName(every.join(own, "run", "left_semi").select("doc_id", "th", "s", "run", F.lit(n).alias("len")))
-    return found
 
+def fingerprints(texts: DataFrame, k: int, window: int, *ids: str, marks: list[int] | None = None) -> DataFrame:
+    """ids, s (first word), fp of the fingerprints of texts (v: their words), and around: the words from window - k
+    before s to window - k after the k-gram (null beyond the ends). With marks, only those whose bit is set."""
+    rows = held(texts.withColumn("g", F.transform(_places(F.when(F.size("v") >= window, F.size("v") - k).otherwise(-1)), lambda i: _gram(i, k))))
+    chosen = F.filter(_places(F.size("g") - 1), lambda i: _marked(marks, F.get("g", i)) & _least_of_a_window(i, window - k + 1))
+    rows = held(rows.withColumn("at", chosen)).select(*ids, "v", "g", F.explode("at").alias("s"))
+    around = F.array(*(F.when(F.col("s") + j >= 0, F.get("v", F.col("s") + j)) for j in range(k - window, window)))
+    return rows.select(*ids, "s", F.get("g", F.col("s")).alias("fp"), around.alias("around"))
 
-def _hashed(rows: DataFrame, *ids: str) -> DataFrame:
-    """ids and w, the words of text as hashes."""
-    return rows.select(*ids, words_of(F.col("text")).alias("w")).select(*ids, F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
 
+def _extended(step: int, k: int, window: int) -> Column:
+    """How many words match on one side of a hit, up to window - k."""
+    first = window - k - 1 if step < 0 else window
+    out = F.lit(0)
+    for j in reversed(range(window - k)):
+        at = F.lit(first + step * j)
+        out = F.when(F.get("around", at) == F.get("theirs", at), F.lit(1) + out).otherwise(F.lit(0))
+    return out
 
-def _items_by_run(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, run, len: the runs of each item."""
-    items = _hashed(benchmark, "item_id").filter(F.size("w") > 0)
-    out = items.filter(F.size("w") >= window).select("item_id", F.explode(_grams("w", window, window)).alias("run"), F.lit(window).alias("len"))
-    for n in range(1, window):
-        out = out.unionByName(items.filter(F.size("w") == n).select("item_id", F.explode(_grams("w", n, n)).alias("run"), F.lit(n).alias("len")))
-    return out.distinct()
+
+def _runs(texts: DataFrame, n: int, marks: list[int] | None, *ids: str) -> DataFrame:
+    """ids, s, run: the runs of n words, as text; with marks, only those whose bit is set."""
+    at = F.filter(_places(F.size("v") - n), lambda i: _marked(marks, _gram(i, n)))
+    rows = held(texts.withColumn("at", at)).select(*ids, "v", F.explode("at").alias("s"))
+    return rows.select(*ids, "s", F.array_join(F.slice("v", F.col("s") + 1, n), " ").alias("run"))
+
+
+def _worded(rows: DataFrame, *ids: str) -> DataFrame:
+    """ids and v, the words of text."""
+    return held(rows.select(*ids, words_of(F.col("text")).alias("v")))
+
+
+def _hits(documents: DataFrame, benchmark: DataFrame, window: int, k: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th (the text's hash), passage, first, last: the hits, each with the first and the last start of its
+    matching windows (len words each); and passage, item_id."""
+    items = materialize(_worded(benchmark, "item_id"), "benchmark_words")
+    own = fingerprints(items, k, window, "item_id")
+    own = own.select("item_id", "fp", F.col("around").alias("theirs"), F.xxhash64("fp", F.transform("around", lambda x: F.coalesce(x, F.lit(""))), F.transform("around", lambda x: x.isNull().cast("int"))).alias("passage"))
+    own = materialize(own, "benchmark_fingerprints")
+    known = own.select("passage", "fp", "theirs").dropDuplicates(["passage"])
+    few = known.count() <= small
+    marks = [r.fp for r in known.select("fp").distinct().collect()] if few else None
+    bounded = F.broadcast if few else (lambda df: df)
+    texts = _worded(documents.select("doc_id", "text", F.xxhash64("text").alias("th")), "doc_id", "th")
+    met = fingerprints(texts, k, window, "doc_id", "th", marks=marks).join(bounded(known), "fp")
+    # the words of the k-gram itself, then those on either side
+    core = functools.reduce(lambda a, b: a & b, (F.get("around", F.lit(j)) == F.get("theirs", F.lit(j)) for j in range(window - k, window)))
+    met = met.filter(core).withColumns({"before": _extended(-1, k, window), "behind": _extended(1, k, window)}).filter(F.col("before") + F.col("behind") >= window - k)
+    found = met.select("doc_id", "th", "passage", (F.col("s") - F.col("before")).alias("first"), (F.col("s") + F.col("behind") - (window - k)).alias("last"), F.lit(window).alias("len"))
+    passages = own.select("passage", "item_id")
+    short = items.filter(F.size("v").between(1, window - 1)).select("item_id", F.size("v").alias("n"), F.array_join("v", " ").alias("run"))
+    short = materialize(short.withColumn("passage", F.xxhash64("n", "run")), "benchmark_short")
+    for n in sorted(r.n for r in short.select("n").distinct().collect()):  # at most window - 1 lengths
+        mine = short.filter(F.col("n") == n).select("passage", "run").distinct()
+        few = mine.count() <= small
+        hashed = mine.select(F.xxhash64(*(F.get(F.split("run", " "), F.lit(j)) for j in range(n))).alias("h"))
+        every = _runs(texts, n, [r.h for r in hashed.collect()] if few else None, "doc_id", "th")
+        hit = every.join(F.broadcast(mine) if few else mine, "run")
+        found = found.unionByName(hit.select("doc_id", "th", "passage", F.col("s").alias("first"), F.col("s").alias("last"), F.lit(n).alias("len")))
+    return found, passages.unionByName(short.select("passage", "item_id")).distinct()
 
 
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, small: int = SMALL) -> DataFrame:
     """One row for each document (doc_id, th) with a hit: spans (array of struct<s, len>, by s, in words),
     n_hit (words inside any span), item_ids (sorted as strings)."""
-    hits = materialize(_hits(documents, benchmark, window, k, small), "decontaminate")
-    runs = _items_by_run(benchmark, window)
-    items = hits.select("doc_id", "th", "run", "len").distinct().join(runs, ["run", "len"]).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    spans = hits.select("doc_id", "th", "s", "len").distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "len"))).alias("spans"))
+    hits, passages = _hits(documents, benchmark, window, k, small)
+    hits = materialize(hits, "decontaminate")
+    items = hits.select("doc_id", "th", "passage").distinct().join(passages, "passage").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    # of one start and length the widest reach
+    reach = (F.col("last") - F.col("first") + F.col("len")).alias("len")
+    spans = hits.select("doc_id", "th", F.col("first").alias("s"), reach).groupBy("doc_id", "th", "s").agg(F.max("len").alias("len"))
+    spans = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "len"))).alias("spans"))
     step = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),

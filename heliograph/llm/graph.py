@@ -20,9 +20,11 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
             return False
         return df.join(df.select(F.col("u").alias("other")), F.col("v") == F.col("other"), "left_semi").isEmpty()
 
-    for _ in range(most):
-        if is_forest_of_stars(now):
-            break
+    rounds = 0
+    while not is_forest_of_stars(now):
+        rounds += 1
+        if rounds > most:
+            raise RuntimeError(f"components did not settle in {most} rounds")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m")), "large_star")
         large = both.filter("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

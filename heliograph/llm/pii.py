@@ -40,7 +40,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialize, read_table
+from heliograph.llm.common import bitmap, held, materialize, read_table
 
 #: The base patterns (fixed values), written with possessive quantifiers. A match of email starts where its
 #: run of characters starts or where the last match ended; the digits' kinds start no run in its middle.
@@ -123,12 +123,6 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def _held(rows: DataFrame) -> DataFrame:
-    """The same rows, each built once: what follows is neither merged with what stands before (which would
-    evaluate it again for each use) nor pushed below it."""
-    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
-
-
 _SPACES = " \t\n\x0b\f\r"
 
 
@@ -172,36 +166,26 @@ def _places(rows: DataFrame) -> DataFrame:
     """match and patterns of each of the seeds (near: what _around gives), one row each. A piece that begins or
     ends beyond REACH is none."""
     each = rows.select(F.explode("near").alias("x")).select("x.match", _folded(F.col("x.b")).alias("b"), "x.cut_b", _folded(F.col("x.a")).alias("a"), "x.cut_a")
-    each = _held(each)
+    each = held(each)
     every = lambda c: F.filter(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)), lambda p: p != "")
-    each = _held(each.withColumns({"b": every("b"), "a": every("a")}))
+    each = held(each.withColumns({"b": every("b"), "a": every("a")}))
     each = each.withColumns({"b": F.when(F.col("cut_b"), F.slice("b", F.lit(2), F.greatest(F.size("b") - 1, F.lit(0)))).otherwise(F.col("b")), "a": F.when(F.col("cut_a"), F.slice("a", F.lit(1), F.greatest(F.size("a") - 1, F.lit(0)))).otherwise(F.col("a"))})
-    each = _held(each)
+    each = held(each)
     open_ = F.coalesce(F.get("b", F.size("b") - 1), F.lit("")).rlike(r"[^\x20\x09-\x0D=:]\z")
     each = each.withColumn("lead", F.when(open_, F.get("b", F.size("b") - 1)).otherwise("")).withColumn("last", F.size("b") - 1 - open_.cast("int"))
-    each = _held(each)
+    each = held(each)
     piece = lambda c, i: F.coalesce(F.rtrim(F.get(c, i), F.lit(_SPACES)), F.lit(""))
     before, before2, after, after2 = piece("b", F.col("last")), piece("b", F.col("last") - 1), piece("a", F.lit(1)), piece("a", F.lit(2))
-    each = _held(each.select("match", "lead", before.alias("before"), before2.alias("before2"), piece("a", F.lit(0)).alias("trail"), after.alias("after"), after2.alias("after2")))
+    each = held(each.select("match", "lead", before.alias("before"), before2.alias("before2"), piece("a", F.lit(0)).alias("trail"), after.alias("after"), after2.alias("after2")))
     return each.select("match", _patterns(*(F.col(c) for c in ("lead", "before", "before2", "trail", "after", "after2"))).alias("patterns"))
 
 
 PATTERN = ["kind", "near", "far", "mark"]
 
 
-def _bitmap(hashes: list[int]) -> tuple[Column, int]:
-    """A table of bits, one set for each hash, as one constant, and the number of its words as a power of two."""
-    power = min(16, max(6, len(hashes).bit_length()))
-    table = [0] * (1 << power)
-    for h in hashes:
-        u = h & (2**64 - 1)
-        table[u >> (64 - power)] |= 1 << (u & 63)
-    return F.split(F.lit(",".join(str(x - 2**64 if x >= 2**63 else x) for x in table)), ",").cast("array<bigint>"), power
-
-
 def _hit(hashes: list[int], h: Column) -> Column:
     """Is this hash's bit set in the table of the hashes."""
-    table, power = _bitmap(hashes)
+    table, power = bitmap(hashes)
     return F.call_function("bit_get", F.get(table, F.shiftrightunsigned(h, 64 - power).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
@@ -219,9 +203,9 @@ def _tables(patterns: DataFrame) -> dict[str, list[int]]:
 
 def _pieces(texts: DataFrame, *ids: str) -> DataFrame:
     """ids, t, f (t folded) and c, its pieces without white space."""
-    rows = _held(texts.select(*ids, "t", _folded(F.col("t")).alias("f")))
+    rows = held(texts.select(*ids, "t", _folded(F.col("t")).alias("f")))
     cut = F.when(F.contains("f", F.lit("=")) | F.contains("f", F.lit(":")), F.regexp_replace("f", r"([=:])(?=[^\x20\x09-\x0D=:])", "$1 ")).otherwise(F.col("f"))
-    return _held(rows.select(*ids, "t", "f", F.split(cut, r"[\x20\x09-\x0D]+").alias("c")))
+    return held(rows.select(*ids, "t", "f", F.split(cut, r"[\x20\x09-\x0D]+").alias("c")))
 
 
 def _lead(piece: Column) -> Column:
@@ -257,17 +241,17 @@ def _occurrences(texts: DataFrame, keep, *ids: str) -> DataFrame:
     rows = _pieces(texts, *ids)
     every = F.sequence(F.lit(0), F.size("c") - 1)
     for column in keep or [every]:
-        rows = _held(rows.withColumn("i", column))
+        rows = held(rows.withColumn("i", column))
     rows = rows.filter(F.size("i") > 0)
     # the offsets of these places only: from each to the next the pieces with their white space are joined
-    rows = _held(rows.withColumn("p", F.regexp_extract_all("f", F.lit(PIECE), F.lit(0))))
+    rows = held(rows.withColumn("p", F.regexp_extract_all("f", F.lit(PIECE), F.lit(0))))
     step = F.zip_with("i", F.concat(F.array(F.lit(0)), F.slice("i", F.lit(1), F.size("i") - 1)), lambda x, before: F.length(F.array_join(F.slice("p", before + 1, x - before), "")).cast("long"))
-    rows = _held(rows.withColumn("w", step))
-    rows = _held(rows.withColumn("o", F.zip_with(running(F.col("w")), "w", lambda a, w: a + w)))
+    rows = held(rows.withColumn("w", step))
+    rows = held(rows.withColumn("o", F.zip_with(running(F.col("w")), "w", lambda a, w: a + w)))
     rows = rows.select(*ids, "t", "c", F.explode(F.arrays_zip("i", "o")).alias("x"))
     at = lambda k: F.coalesce(F.when(F.col("x.i") + k >= 0, F.get("c", F.col("x.i") + k)), F.lit(""))
-    rows = _held(rows.select(*ids, "t", "x.o", at(-2).alias("b2"), at(-1).alias("b1"), at(0).alias("own"), at(1).alias("a1"), at(2).alias("a2")))
-    rows = _held(rows.withColumns({"lead": _lead(F.col("own")), "size": _core_size(F.col("own"))})).filter("size > 0")
+    rows = held(rows.select(*ids, "t", "x.o", at(-2).alias("b2"), at(-1).alias("b1"), at(0).alias("own"), at(1).alias("a1"), at(2).alias("a2")))
+    rows = held(rows.withColumns({"lead": _lead(F.col("own")), "size": _core_size(F.col("own"))})).filter("size > 0")
     start = F.col("o") + F.col("lead")
     mark, trail = F.substring("own", F.lit(1), F.col("lead")), F.substring("own", F.col("lead") + F.col("size") + 1, F.length("own"))
     return rows.select(*ids, start.alias("start"), (start + F.col("size")).alias("stop"), F.substring("t", start.cast("int") + 1, F.col("size")).alias("match"), _patterns(mark, F.col("b1"), F.col("b2"), trail, F.col("a1"), F.col("a2")).alias("patterns"))
