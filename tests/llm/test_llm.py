@@ -399,13 +399,69 @@ def test_quality_upper_band(spark):
 
 def test_kneser_ney_sums_to_one():
     r = np.random.default_rng(1)
-    keys, n = np.unique(r.integers(0, 12, (4000, 4)) @ (1 << np.array([18, 12, 6, 0])), return_counts=True)
+    keys, n = np.unique(r.integers(0, 12, (4000, 5)) @ (1 << np.array([48, 36, 24, 12, 0])), return_counts=True)
     model = quality.kneser_ney(keys, n)
-    for context in (keys[0] >> 6, keys[50] >> 6, (40 << 12) | (41 << 6) | 42):
-        p = np.exp(quality.log_probability(model, (context << 6) | np.arange(64)))
+    for context in (keys[0] >> 12, keys[50] >> 12, (40 << 36) | (41 << 24) | (42 << 12) | 43):
+        p = np.exp(quality.log_probability(model, (context << 12) | np.arange(4096)))
         assert abs(p.sum() - 1) < 1e-6 and (p > 0).all()
 
 
+def brute_perplexity(texts):
+    """Modified Kneser-Ney by dictionaries: the mean negative log probability of each text."""
+    def fold(c):
+        c = ord(c)
+        if c >= 128:
+            return c
+        ch = chr(c).lower()
+        if ch.isalpha():
+            return ord(ch) - 97
+        return 26 if ch.isdigit() else 27 if ch in " \t\n\v\f\r" else 28 if ch in ".,;:!?" else 29 if ch in "'\"()[]{}-/" else 30 if ch in "#*$%&|<>" else 31
+
+    rows = [tuple(map(fold, t)) for t in texts]
+    level = {5: Counter(t[i : i + 5] for t in rows for i in range(len(t) - 4))}
+    for k in (4, 3, 2, 1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    cut, total, cuts = {}, {}, {}
+    for k, counts in level.items():
+        ones = [max(1, sum(v == j for v in counts.values())) for j in (1, 2, 3, 4)]
+        y = ones[0] / (ones[0] + 2 * ones[1])
+        d = [0, min(0.95, max(0.05, 1 - 2 * y * ones[1] / ones[0])), min(1.9, max(0.1, 2 - 3 * y * ones[2] / ones[1])), min(2.85, max(0.15, 3 - 4 * y * ones[3] / ones[2]))]
+        cut[k] = {g: d[min(v, 3)] for g, v in counts.items()}
+        total[k], cuts[k] = Counter(), Counter()
+        for g, v in counts.items():
+            total[k][g[:-1]] += v
+            cuts[k][g[:-1]] += cut[k][g]
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / 4096
+        below = p(g[1:])
+        if g[:-1] not in total[k]:
+            return below
+        own = max(level[k][g] - cut[k][g], 1e-9) / total[k][g[:-1]] if g in level[k] else 0
+        return own + cuts[k][g[:-1]] / total[k][g[:-1]] * below
+
+    return [(-sum(np.log(p(t[i : i + 5])) for i in range(len(t) - 4)) / (len(t) - 4)) if len(t) > 4 else None for t in rows]
+
+
+def test_perplexity(spark):
+    """Against the dictionaries, by language, with other scripts, short texts and a null language."""
+    r = random.Random(12)
+    texts = [words(r, 40, 30) + r.choice(("", " | 7", "é ß", " \u4e2d\u6587", "")) for _ in range(30)] + ["abc", "", "abcde"]
+    rows = [(k, t, None if k % 2 else "en") for k, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (99, None, "en")], "doc_id bigint, text string, lang string")
+    got = {x.doc_id: x.log_perplexity for x in quality.score(df, quality.fit(df)).collect()}
+    assert got[99] is None
+    for odd in (0, 1):
+        own = [(k, t) for k, t, _ in rows if k % 2 == odd]
+        folded = ["".join(chr(2048 + ((ord(c) * 0x9E3779B1 >> 7) & 2047)) if ord(c) >= 4096 else c for c in t) for _, t in own]
+        for (k, _), want in zip(own, brute_perplexity(folded), strict=True):
+            assert (got[k] is None) if want is None else abs(got[k] - want) < 1e-9
+    # a share bounds what is kept: the most frequent 5-grams only
+    assert sum(len(m[-1][0]) for m in quality.fit(df, share=0.01).values()) <= 100
+
+
 def test_html(spark):
     model = html.train()
     maker, wrong, total = Maker(4242), 0, 0
