@@ -189,18 +189,23 @@ def _hit(hashes: list[int], h: Column) -> Column:
     return F.call_function("bit_get", F.get(table, F.shiftrightunsigned(h, 64 - power).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _beside(kind: str, i: Column) -> tuple[Column, ...]:
-    """The pieces that a pattern of this kind names, of the place i among the pieces c."""
+def _beside(kind: str, i: Column, column: str = "c") -> tuple[Column, ...]:
+    """The pieces (or their hashes) that a pattern of this kind names, of the place i."""
     step = -1 if kind[0] == "L" else 1
-    return tuple(F.get("c", i + step * k) for k in range(1, int(kind[1]) + 1))
+    return tuple(F.get(column, i + step * k) for k in range(1, int(kind[1]) + 1))
 
 
 def _tables(patterns: DataFrame) -> dict[str, list[int]]:
     """By kind the hashes of the pieces that patterns name: for at most `small` patterns."""
-    rows = patterns.select("kind", F.when(F.col("kind").endswith("1"), F.xxhash64("near")).otherwise(F.xxhash64("near", "far")).alias("h")).distinct().collect()
+    rows = patterns.select("kind", F.when(F.col("kind").endswith("1"), F.xxhash64("near")).otherwise(F.xxhash64(F.xxhash64("near"), F.xxhash64("far"))).alias("h")).distinct().collect()
     return {kind: [r.h for r in rows if r.kind == kind] for kind in sorted({r.kind for r in rows})}
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Adds h, the hashes of the pieces c: each is computed once, however many tests look at it."""
+    return held(rows.withColumn("h", F.transform("c", lambda x: F.xxhash64(x))))
+
+
 def _pieces(texts: DataFrame, *ids: str) -> DataFrame:
     """ids, t, f (t folded) and c, its pieces without white space."""
     rows = held(texts.select(*ids, "t", _folded(F.col("t")).alias("f")))
@@ -226,11 +231,12 @@ def _number(kind: str, i: Column) -> Column:
 def _totals(texts: DataFrame, tables: dict[str, list[int]]) -> DataFrame:
     """pattern (its hash), total: how often each pattern whose pieces are in the tables stands beside any core. One
     number for each place goes on: this pass meets the most frequent words."""
-    rows = _pieces(texts)
+    rows = _hashed(_pieces(texts))
     every = F.sequence(F.lit(0), F.size("c") - 1)
 
     def marks(kind: str, hashes: list[int]) -> Column:
-        return F.transform(F.filter(every, lambda i: _hit(hashes, F.xxhash64(*_beside(kind, i))) & (_core_size(F.get("c", i)) > 0)), lambda i: _number(kind, i))
+        key = lambda i: F.xxhash64(*_beside(kind, i, "h")) if kind[1] == "2" else _beside(kind, i, "h")[0]
+        return F.transform(F.filter(every, lambda i: _hit(hashes, key(i)) & (_core_size(F.get("c", i)) > 0)), lambda i: _number(kind, i))
 
     return rows.select(F.explode(F.concat(*(marks(k, t) for k, t in tables.items()))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
 
@@ -239,8 +245,7 @@ def _occurrences(texts: DataFrame, keep, *ids: str) -> DataFrame:
     """ids, start, stop, match and patterns of the cores at the places of c that `keep` allows (None: all).
     keep: the columns to add one by one, the last of which is i, the places."""
     rows = _pieces(texts, *ids)
-    every = F.sequence(F.lit(0), F.size("c") - 1)
-    for column in keep or [every]:
+    for column in keep or [F.sequence(F.lit(0), F.size("c") - 1)]:
         rows = held(rows.withColumn("i", column))
     rows = rows.filter(F.size("i") > 0)
     # the offsets of these places only: from each to the next the pieces with their white space are joined
@@ -261,16 +266,19 @@ def _named(patterns: DataFrame) -> list[Column]:
     """The places of these patterns (at most `small`): by one test of each piece those that patterns name, then by
     the whole patterns the places on either side."""
     rows = patterns.select("kind", F.xxhash64("near").alias("near"), "pattern").collect()
-    pieces = F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: _hit(sorted({r.near for r in rows}), F.xxhash64(F.get("c", i))))
+    near = sorted({r.near for r in rows})
+    hashes = F.transform("c", lambda x: F.xxhash64(x))
+    pieces = F.filter(F.sequence(F.lit(0), F.size("i") - 1), lambda k: _hit(near, F.get("i", k)))
     sides = F.array_sort(F.array_distinct(F.flatten(F.transform("i", lambda i: F.array(i - 1, i + 1)))))
     tables = {kind: [r.pattern for r in rows if r.kind == kind] for kind in sorted({r.kind for r in rows})}
     holds = lambda i: (i >= 0) & (i < F.size("c")) & functools.reduce(lambda a, b: a | b, (_hit(t, _number(kind, i)) for kind, t in tables.items()))
-    return [pieces, F.when(F.size("i") > 0, F.filter(sides, holds)).otherwise(F.col("i"))]
+    return [hashes, pieces, F.when(F.size("i") > 0, F.filter(sides, holds)).otherwise(F.col("i"))]
 
 
 def _holding(hashes: list[int]) -> list[Column]:
     """The places whose core has one of the hashes."""
-    return [F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: _hit(hashes, F.xxhash64(F.rtrim(F.ltrim(F.get("c", i), F.lit(LEAD)), F.lit(TRAIL)))))]
+    cores = F.transform("c", lambda x: F.xxhash64(F.rtrim(F.ltrim(x, F.lit(LEAD)), F.lit(TRAIL))))
+    return [cores, F.filter(F.sequence(F.lit(0), F.size("i") - 1), lambda k: _hit(hashes, F.get("i", k)))]
 
 
 def _contexts(places: DataFrame) -> DataFrame:
