@@ -221,6 +221,12 @@ def _core_size(piece: Column) -> Column:
     return F.length(F.rtrim(F.ltrim(piece, F.lit(LEAD)), F.lit(TRAIL)))
 
 
+def _key(kind: str, i: Column) -> Column:
+    """The hash of the pieces that a pattern of this kind names, as _tables has it."""
+    pieces = _beside(kind, i, "h")
+    return F.xxhash64(*pieces) if kind[1] == "2" else pieces[0]
+
+
 def _number(kind: str, i: Column) -> Column:
     """The hash of the pattern of this kind at the place i."""
     own, pieces = F.get("c", i), _beside(kind, i)
@@ -235,8 +241,7 @@ def _totals(texts: DataFrame, tables: dict[str, list[int]]) -> DataFrame:
     every = F.sequence(F.lit(0), F.size("c") - 1)
 
     def marks(kind: str, hashes: list[int]) -> Column:
-        key = lambda i: F.xxhash64(*_beside(kind, i, "h")) if kind[1] == "2" else _beside(kind, i, "h")[0]
-        return F.transform(F.filter(every, lambda i: _hit(hashes, key(i)) & (_core_size(F.get("c", i)) > 0)), lambda i: _number(kind, i))
+        return F.transform(F.filter(every, lambda i: _hit(hashes, _key(kind, i)) & (_core_size(F.get("c", i)) > 0)), lambda i: _number(kind, i))
 
     return rows.select(F.explode(F.concat(*(marks(k, t) for k, t in tables.items()))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
 
@@ -245,8 +250,8 @@ def _occurrences(texts: DataFrame, keep, *ids: str) -> DataFrame:
     """ids, start, stop, match and patterns of the cores at the places of c that `keep` allows (None: all).
     keep: the columns to add one by one, the last of which is i, the places."""
     rows = _pieces(texts, *ids)
-    for column in keep or [F.sequence(F.lit(0), F.size("c") - 1)]:
-        rows = held(rows.withColumn("i", column))
+    for name, column in keep or [("i", F.sequence(F.lit(0), F.size("c") - 1))]:
+        rows = held(rows.withColumn(name, column))
     rows = rows.filter(F.size("i") > 0)
     # the offsets of these places only: from each to the next the pieces with their white space are joined
     rows = held(rows.withColumn("p", F.regexp_extract_all("f", F.lit(PIECE), F.lit(0))))
@@ -262,23 +267,24 @@ def _occurrences(texts: DataFrame, keep, *ids: str) -> DataFrame:
     return rows.select(*ids, start.alias("start"), (start + F.col("size")).alias("stop"), F.substring("t", start.cast("int") + 1, F.col("size")).alias("match"), _patterns(mark, F.col("b1"), F.col("b2"), trail, F.col("a1"), F.col("a2")).alias("patterns"))
 
 
-def _named(patterns: DataFrame) -> list[Column]:
+def _named(patterns: DataFrame) -> list[tuple[str, Column]]:
     """The places of these patterns (at most `small`): by one test of each piece those that patterns name, then by
     the whole patterns the places on either side."""
     rows = patterns.select("kind", F.xxhash64("near").alias("near"), "pattern").collect()
     near = sorted({r.near for r in rows})
-    hashes = F.transform("c", lambda x: F.xxhash64(x))
-    pieces = F.filter(F.sequence(F.lit(0), F.size("i") - 1), lambda k: _hit(near, F.get("i", k)))
+    pieces = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda k: _hit(near, F.get("h", k)))
     sides = F.array_sort(F.array_distinct(F.flatten(F.transform("i", lambda i: F.array(i - 1, i + 1)))))
-    tables = {kind: [r.pattern for r in rows if r.kind == kind] for kind in sorted({r.kind for r in rows})}
-    holds = lambda i: (i >= 0) & (i < F.size("c")) & functools.reduce(lambda a, b: a | b, (_hit(t, _number(kind, i)) for kind, t in tables.items()))
-    return [hashes, pieces, F.when(F.size("i") > 0, F.filter(sides, holds)).otherwise(F.col("i"))]
+    gates = _tables(patterns)
+    tables = {kind: [r.pattern for r in rows if r.kind == kind] for kind in gates}
+    # the pieces' hashes rule out most places before any text is looked at
+    holds = lambda i: (i >= 0) & (i < F.size("c")) & functools.reduce(lambda a, b: a | b, (_hit(gates[kind], _key(kind, i)) & _hit(t, _number(kind, i)) for kind, t in tables.items()))
+    return [("h", F.transform("c", lambda x: F.xxhash64(x))), ("i", pieces), ("i", F.when(F.size("i") > 0, F.filter(sides, holds)).otherwise(F.col("i")))]
 
 
-def _holding(hashes: list[int]) -> list[Column]:
+def _holding(hashes: list[int]) -> list[tuple[str, Column]]:
     """The places whose core has one of the hashes."""
     cores = F.transform("c", lambda x: F.xxhash64(F.rtrim(F.ltrim(x, F.lit(LEAD)), F.lit(TRAIL))))
-    return [cores, F.filter(F.sequence(F.lit(0), F.size("i") - 1), lambda k: _hit(hashes, F.get("i", k)))]
+    return [("h", cores), ("i", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda k: _hit(hashes, F.get("h", k))))]
 
 
 def _contexts(places: DataFrame) -> DataFrame:
