@@ -6,12 +6,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.filters import compile_filter
 from heliograph.operators import alerts, logs, metrics, traces
-from heliograph.sources import ingest, schema
+from heliograph.sources import ingest, schema, wire
 
 NOW = "2024-01-31 00:00:00"
 DAY, HOUR = 86400, 3600
@@ -98,7 +98,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return schema.doc_logs(spark, sf).filter(compile_filter("(startsWith(Text, 'Th') or ci_contains(Text, 'scum')) and not endsWith(Text, 'x.') and ci_startsWith(Source, 'SRC')")).select("id")
 
 
-@register("logs_xml")
+@register("logs_xml", f"WITH {LOGS} SELECT id FROM logs WHERE id = 5")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = schema.logs(spark, sf).withColumn("props", F.parse_json(F.to_json(F.struct(F.concat(F.lit("<r><a>"), "id", F.lit("</a></r>")).alias("Body")))))
     return rows.filter(compile_filter("fromXml(Body, 'r/a') = '5'")).select("id")
@@ -373,20 +373,110 @@ def _docs(spark: SparkSession, document: dict) -> DataFrame:
 _RES = {"attributes": [{"key": "service.name", "value": {"stringValue": "shop"}}, {"key": "host", "value": {"stringValue": "h1"}}]}
 
 
-@register("otlp_logs_flatten")
+@register("otlp_logs_flatten", """SELECT 'Error' AS level_name, 'failed {n}' AS mt, '{"host":"h1","n":5}' AS props_json, 'shop' AS service, 'ab' AS tr, 'cd' AS sp""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     record = {"timeUnixNano": "1700000000123456000", "severityNumber": 17, "body": {"stringValue": "failed {n}"}, "attributes": [{"key": "n", "value": {"intValue": "5"}}], "traceId": "AB", "spanId": "CD"}
     return ingest.otlp_logs(_docs(spark, {"resourceLogs": [{"resource": _RES, "scopeLogs": [{"logRecords": [record]}]}]})).select("level_name", "mt", "props_json", "service", "tr", "sp")
 
 
-@register("otlp_spans_flatten")
+@register("otlp_spans_flatten", """SELECT 'a1' AS trace_id, 'b1' AS span_id, CAST(NULL AS VARCHAR) AS parent_span_id, 10::BIGINT AS start_ns, 20::BIGINT AS duration_ns, 'GET /' AS name, 'shop' AS service,
+ 1 AS kind, 2 AS status, 503 AS http_status""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     span = {"traceId": "A1", "spanId": "B1", "name": "GET /", "kind": 2, "startTimeUnixNano": "10", "endTimeUnixNano": "30", "status": {"code": 2}, "attributes": [{"key": "http.status_code", "value": {"intValue": "503"}}]}
     return ingest.otlp_spans(_docs(spark, {"resourceSpans": [{"resource": _RES, "scopeSpans": [{"spans": [span, {**span, "spanId": ""}]}]}]})).drop("attrs")
 
 
-@register("otlp_metrics_flatten")
+@register("otlp_metrics_flatten", """SELECT 'lat' AS name, 'Histogram' AS kind, '{"service.name":"shop","host":"h1","route":"/"}' AS labels, 10::BIGINT AS ts_ns, 2.0::DOUBLE AS value, 4::BIGINT AS count, '[1,3]' AS buckets
+ UNION ALL SELECT 'hits', 'Counter', '{"service.name":"shop","host":"h1"}', 10, 7.0, NULL, NULL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     point = {"timeUnixNano": "10", "count": "4", "sum": 8.0, "explicitBounds": [1.0], "bucketCounts": ["1", "3"], "attributes": [{"key": "route", "value": {"stringValue": "/"}}]}
     out = ingest.otlp_metrics(_docs(spark, {"resourceMetrics": [{"resource": _RES, "scopeMetrics": [{"metrics": [{"name": "lat", "unit": "s", "histogram": {"dataPoints": [point]}}, {"name": "hits", "sum": {"isMonotonic": True, "dataPoints": [{"timeUnixNano": "10", "asInt": "7"}]}}]}]}]}))
     return out.select("name", "kind", F.to_json("labels").alias("labels"), "ts_ns", "value", "count", F.to_json("buckets").alias("buckets"))
+
+
+# ------------------------------------------------------------------ binary bodies
+
+
+def _text_hex(text: Column) -> Column:
+    """A text of less than 128 bytes, with its size before it, in hexadecimal."""
+    return F.concat(F.lpad(F.hex(F.octet_length(text)), 2, "0"), F.hex(text))
+
+
+def _varint_hex(number: Column) -> Column:
+    """A number below 2**35 as a varint of five bytes."""
+    return F.concat(*(F.lpad(F.hex(F.shiftright(number, 7 * k).bitwiseAND(127).bitwiseOR(128 if k < 4 else 0)), 2, "0") for k in range(5)))
+
+
+def _fixed_hex(number: Column) -> Column:
+    big = F.lpad(F.hex(number), 16, "0")
+    return F.concat(*(F.substring(big, 2 * k + 1, 2) for k in range(7, -1, -1)))
+
+
+def _sized_hex(body: Column) -> Column:
+    # bound once, or nested sizes would multiply the expression
+    return F.get(F.transform(F.array(body), lambda b: F.concat(_varint_hex((F.length(b) / 2).cast("bigint")), b)), 0)
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+@register("otlp_proto_logs", """SELECT event_id AS id, epoch_us(ts) AS us, CASE event_type WHEN 'error' THEN 'Error' ELSE 'Information' END AS level_name, event_type AS mt, 'svc' AS service, lpad(printf('%x', user_id), 32, '0') AS tr FROM events""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    pair = lambda key, value: F.concat(F.lit("0A"), _text_hex(F.lit(key)), F.lit("12"), _sized_hex(value))
+    record = F.concat(
+        F.lit("09"), _fixed_hex(F.col("us") * 1000), F.lit("10"), F.when(F.col("event_type") == "error", "11").otherwise("09"), F.lit("2A"), _sized_hex(F.concat(F.lit("0A"), _text_hex(F.col("event_type")))),
+        F.lit("32"), _sized_hex(pair("id", F.concat(F.lit("18"), _varint_hex(F.col("event_id"))))), F.lit("4A10"), F.lpad(F.hex("user_id"), 32, "0"),
+    )
+    resource = F.concat(F.lit("0A"), _sized_hex(F.concat(F.lit("0A"), _sized_hex(pair("service.name", F.concat(F.lit("0A"), _text_hex(F.lit("svc"))))))))
+    body = F.concat(F.lit("0A"), _sized_hex(F.concat(resource, F.lit("12"), _sized_hex(F.concat(F.lit("12"), _sized_hex(record))))))
+    rows = wire.otlp_logs(_events(spark, sf).select(F.unhex(body).alias("content")))
+    return rows.select(F.try_variant_get("props", "$.id", "bigint").alias("id"), F.unix_micros("ts").alias("us"), "level_name", "mt", "service", "tr")
+
+
+@register("clef_msgpack", """SELECT event_id AS id, user_id, epoch_us(ts) AS us, CASE event_type WHEN 'error' THEN 'Error' ELSE 'Information' END AS level_name, 'User {UserId} ' || event_type AS mt FROM events""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    text = lambda c: F.concat(F.lit("D9"), _text_hex(c))
+    whole = lambda c: F.concat(F.lit("CE"), F.lpad(F.hex(c), 8, "0"))
+    at = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    entries = (("@t", text(at)), ("@mt", text(F.concat(F.lit("User {UserId} "), "event_type"))), ("@l", text(F.col("event_type"))), ("Id", whole("event_id")), ("UserId", whole("user_id")))
+    body = F.concat(F.lit("9185"), *(x for key, value in entries for x in (text(F.lit(key)), value)))
+    rows = wire.clef(_events(spark, sf).select(F.unhex(body).alias("content")))
+    return rows.select(F.try_variant_get("props", "$.Id", "bigint").alias("id"), F.try_variant_get("props", "$.UserId", "bigint").alias("user_id"), F.unix_micros("ts").alias("us"), "level_name", "mt")
+
+
+# ------------------------------------------------------------------ values within documents
+
+
+def _nested(name: str, text: str, where: str) -> None:
+    """A filter over logs whose Body is JSON text, Map an object, Enc base64 and Dur a time span."""
+
+    def rows(spark: SparkSession, sf: str) -> DataFrame:
+        k, kind = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_type")
+        body = F.to_json(F.struct(F.struct(F.array(k.cast("string"), F.concat(F.lit("x"), (k % 7).cast("string"))).alias("b"), k.alias("n")).alias("a"), kind.alias("s")))
+        dur = F.concat(F.lit("0."), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":00:01"))
+        props = F.struct(k.alias("k"), kind.alias("Type"), body.alias("Body"), F.struct(k.alias("one"), kind.alias("two")).alias("Map"), F.base64(F.encode(kind, "utf-8")).alias("Enc"), dur.alias("Dur"))
+        level = F.when(kind == "error", 4).when(kind == "purchase", 3).when(kind == "signup", 2).when(kind == "click", 1).otherwise(0)
+        events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), level.alias("level"), F.lit("").alias("mt"), F.to_json(props).alias("props_json"))
+        return schema.as_logs(events, deep=False).filter(compile_filter(text)).select("id", "level_name")
+
+    QUERIES[name], ORACLES[name] = rows, f"WITH {LOGS} SELECT id, level_name FROM logs WHERE {where}"
+
+
+for _n, _t, _w in (
+    ("logs_json_number", "fromJson(Body).a.n > 40 and fromJson(Body).a['b'][1] = 'X3'", "k > 40 AND k % 7 = 3"),
+    ("logs_json_text", "fromJson(Body).s like 'c%k' or (startsWith(fromJson(Body).s, 'pur') and ci_contains(fromJson(Body).s, 'CHA') and endsWith(fromJson(Body).s, 'se'))", "event_type IN ('click', 'purchase')"),
+    ("logs_json_in_has", "fromJson(Body).a.b[1] in ['x1', 'x2'] and has(fromJson(Body).a.b) and not has(fromJson(Body).a.c)", "k % 7 IN (1, 2)"),
+    ("logs_keys_values", "keys(Map) != 'two' and values(Map) != 5 and Type = 'click'", "event_type = 'click'"),
+    ("logs_decoded", "fromBase64(Enc) = 'signup' and toLower(Type) = 'signup' and timeSpan(Dur) >= 432010000000 and now() > 0", "event_type = 'signup' AND k % 24 >= 12"),
+    ("logs_iso_text", "toIsoString(@t, 4) like '%T04:%'", "date_part('hour', ts) = 0"),
+):
+    _nested(_n, _t, _w)
+
+
+# ------------------------------------------------------------------ reads by id
+
+
+@register("log_of_span", f"WITH {LOGS} SELECT id FROM logs WHERE lpad(printf('%x', id), 16, '0') = '0000000000000011'")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return schema.logs(spark, sf).filter(compile_filter("@sp = '0000000000000011'")).select("id")

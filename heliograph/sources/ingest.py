@@ -119,7 +119,7 @@ def otlp_logs(docs: DataFrame) -> DataFrame:
     kind, text = _attribute(F.col("a"), "exception.type"), _attribute(F.col("a"), "exception.message")
     x = F.when(kind.isNotNull() | text.isNotNull(), F.struct(F.coalesce(kind, F.lit("Exception")).alias("type"), text.alias("message"), _attribute(F.col("a"), "exception.stacktrace").alias("stack"), F.lit(None).alias("inner")))
     out = r.select(
-        F.xxhash64(F.to_json("l"), F.to_json("resource")).bitwiseAND(F.lit(2**63 - 1)).alias("id"), F.timestamp_micros((nanos / 1000).cast("bigint")).alias("ts"), level.cast("int").alias("level"),
+        F.xxhash64(F.to_json("l"), F.to_json("resource")).bitwiseAND(F.lit(2**63 - 1)).alias("id"), F.timestamp_micros(F.call_function("div", nanos, F.lit(1000))).alias("ts"), level.cast("int").alias("level"),
         F.coalesce(_any_text(F.col("l.body")), F.lit("")).alias("mt"), x.cast(X).alias("x"), _as_json(props).alias("props_json"),
         F.nullif(F.lower("l.traceId"), F.lit("")).alias("tr"), F.nullif(F.lower("l.spanId"), F.lit("")).alias("sp"), _attribute(F.col("a"), "service.name").alias("service"),
     )
