@@ -303,6 +303,48 @@ def test_sharding_is_even(spark):
     assert len(sizes) == 8 and max(sizes) <= 1.02 * min(sizes)
 
 
+def _plain_kd(rows, dims, target):
+    """Leaves by sorting: rows are (uid, size, values) with distinct numbers in every dimension."""
+    lo, hi = ([f(v[k] for _, _, v in rows) for k in range(dims)] for f in (min, max))
+
+    def split(part):
+        weight = sum(s for _, s, _ in part)
+        if weight <= target or len(part) == 1:
+            return [frozenset(u for u, _, _ in part)]
+        wide = [(max(v[k] for _, _, v in part) - min(v[k] for _, _, v in part)) / (hi[k] - lo[k]) for k in range(dims)]
+        k = max(range(dims), key=lambda d: (wide[d], -d))
+        part = sorted(part, key=lambda r: r[2][k])
+        before = at = 0
+        while 2 * (before + part[at][1]) <= weight:
+            before += part[at][1]
+            at += 1
+        at += 2 * before + part[at][1] < weight
+        return split(part[:at]) + split(part[at:])
+
+    return set(split(rows))
+
+
+def test_sharding_by_target_is_a_kd_tree(spark):
+    rng = random.Random(5)
+    ids = rng.sample(range(4096), 120)
+    sizes = rng.sample(range(10, 2000), 119) + [30_000]  # one row above the target stays alone
+    df = spark.createDataFrame([(i, s, f"src-{i:04d}") for i, s in zip(ids, sizes, strict=True)], "doc_id bigint, size bigint, source string").select("doc_id", "size")
+    got = {}
+    for r in sharding.kd_shards(df, target=9000).collect():
+        got.setdefault(r.shard, set()).add(r.doc_id)
+    assert sorted(got) == list(range(len(got)))
+    want = _plain_kd([(i, s, (s, i)) for i, s in zip(ids, sizes, strict=True)], 2, 9000)
+    assert {frozenset(g) for g in got.values()} == want
+    same = sharding.kd_shards(spark.createDataFrame([(7, 50)] * 6, "doc_id bigint, size bigint"), target=100)
+    assert max(r.w for r in same.groupBy("shard").agg(F.sum("size").alias("w")).collect()) <= 100
+
+
+def test_sharding_into_any_number_and_by_whole_strings(spark):
+    long = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(10).cast("bigint").alias("size"), F.concat(F.lit("https://one.example/"), (F.col("id") % 3).cast("string")).alias("source")).select("size", "source")
+    parted = sharding.kd_shards(long, shards=3).groupBy("shard").agg(F.sum("size").alias("w"), F.countDistinct("source").alias("n")).collect()
+    assert len(parted) == 3 and all(abs(r.w - 10_000) <= 100 for r in parted)
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, (64, 128, 256)).collect()
     sizes = Counter()
