@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -504,6 +505,30 @@ def test_perplexity(spark):
     assert sum(len(m[-1][0]) for m in quality.fit(df, share=0.01).values()) <= 100
 
 
+def test_perplexity_keeps_rare_grams(spark):
+    """Twelve million positions: 5-grams that stand in them once belong to the model all the same."""
+    df = spark.range(400).selectExpr("id AS doc_id", "if(id = 0, 'quixotry', repeat('banana ', 4300)) AS text", "'en' AS lang")
+    rare = quality.grams(quality.TextBatch(pa.array(["quixotry"])))[0]
+    assert set(rare) <= set(quality.fit(df)["en"][-1][0])
+
+
+def test_perplexity_in_tables(spark):
+    """A model too large to broadcast gives the same, for its own texts and for others."""
+    r = random.Random(5)
+    rows = [(k % 50, words(r, 40, 30) + r.choice(("", " | 7", " \u4e2d\u6587")), r.choice(("en", "de", None))) for k in range(60)]
+    df = spark.createDataFrame([*rows, (None, "abcde", "en"), (99, None, "en"), (98, "abc", "fr")], "doc_id bigint, text string, lang string")
+    other = spark.createDataFrame([(1, "zq#! xq\u4e2d " + words(r, 20, 30), "en"), (2, "some words", "it"), (3, "7 7 7 7 7", "de"), (4, None, "de")], "doc_id bigint, text string, lang string")
+    whole, tables = quality.fit(df), quality.fit(df, small=30)
+    assert whole.tables is None and tables.tables and 0 < sum(len(keys) for keys, _ in tables.values()) <= 30
+    for texts in (df, other):
+        a, b = (sorted(quality.score(texts, m).collect(), key=lambda x: str(x[:-1]) + f"{x[-1] or 0:.6f}") for m in (whole, tables))
+        assert [x[:-1] for x in a] == [x[:-1] for x in b]
+        assert [x[-1] is None for x in a] == [x[-1] is None for x in b]
+        assert [x[-1] or 0 for x in a] == pytest.approx([x[-1] or 0 for x in b], abs=1e-9)
+    kept = [sorted((str(x.doc_id), x.n_words, x.kept) for x in quality.judge(df, small=n).collect()) for n in (30, quality.SMALL)]
+    assert kept[0] == kept[1]
+
+
 def test_html(spark):
     model = html.train()
     maker, wrong, total = Maker(4242), 0, 0
