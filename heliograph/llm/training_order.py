@@ -11,7 +11,8 @@ cycle until it lands among them, gives each ordinal its slot: a bijection that a
 shard is a range of slots. Each map task sends one compressed row to each shard; a shard's task lays its
 sequences at slot x stride, and writes one file under a temporary name, moved when complete, so that
 repeated tasks do no harm. Slot s is at byte (s mod per_shard) x stride of shard s div per_shard, so
-that a reader resumes from a slot number alone.
+that a reader resumes from a slot number alone. Beside each shard the same task writes the index of its
+sequences (Parquet), in the same way: Spark's own writers take no part, and only Arrow has to open the path.
 
 Null and empty texts are an end mark alone. Null ids are left out of a sequence's list of ids. No rows
 give no shards.
@@ -27,17 +28,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import TextBatch, materialize, mix, parts, read_table, table_path
+from heliograph.llm.common import TextBatch, mix, parts, read_table, table_path
 from heliograph.llm.textscan import runs
 
 END, FILL = 0xFF, 0xFE
 
+#: The index of a shard: one row per sequence.
+INDEX = "slot bigint, shard bigint, offset bigint, n_tokens bigint, crc32 bigint, doc_ids array<bigint>"
+_INDEX = pa.schema([(k, pa.int64()) for k in ("slot", "shard", "offset", "n_tokens", "crc32")] + [("doc_ids", pa.list_(pa.int64()))])
+
 
 def permute(ordinal: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     """The slot of each ordinal below n."""
@@ -66,6 +72,13 @@ def utf8_tokens(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def _put(where: fs.FileSystem, folder: str, name: str, data: bytes | pa.Buffer) -> None:
+    rough = f"{folder}/.{uuid.uuid4().hex}.tmp"
+    with where.open_output_stream(rough) as out:
+        out.write(data)
+    where.move(rough, f"{folder}/{name}")
+
+
 def write_shards(
     documents: DataFrame,
     path: str,
@@ -77,7 +90,7 @@ def write_shards(
     dtype: str = "uint8",
     fill: int = FILL,
 ) -> DataFrame:
-    """Write shards and a manifest under path. documents must be read from files, so that its partitions
+    """Write shards, their indexes and a manifest under path. documents must be read from files, so that its partitions
     are the same in both passes (this is verified). tokens: a column of each text's number of tokens, end
     mark included, where it is not its bytes and one.
 
@@ -163,24 +176,47 @@ def write_shards(
                 at += k
         where, folder = fs.FileSystem.from_uri(path)
         where.create_dir(folder, recursive=True)
-        name = f"{folder}/shard-{shard:08d}.bin"
-        rough = f"{folder}/.{uuid.uuid4().hex}.tmp"
-        with where.open_output_stream(rough) as out:
-            out.write(data.tobytes())
-        where.move(rough, name)
         slot = np.concatenate(slots)
         mark = [zlib.crc32(data[s - shard * per_shard].tobytes()) for s in slot.tolist()]
-        return pd.DataFrame({"slot": slot, "shard": shard, "offset": (slot - shard * per_shard) * stride, "n_tokens": np.concatenate(sizes), "crc32": mark, "doc_ids": doc_ids}).sort_values("slot")
+        index = pd.DataFrame({"slot": slot, "shard": shard, "offset": (slot - shard * per_shard) * stride, "n_tokens": np.concatenate(sizes), "crc32": mark, "doc_ids": doc_ids}).sort_values("slot")
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_pandas(index, _INDEX, preserve_index=False), sink, compression="zstd")
+        _put(where, folder, f"index-{shard:08d}.parquet", sink.getvalue())
+        _put(where, folder, f"shard-{shard:08d}.bin", data.tobytes())
+        return pd.DataFrame({"shard": [shard], "n": [len(slot)]})
 
     sent = rows.mapInArrow(cut, "shard bigint, slots binary, body binary, sizes binary, ids binary, n_ids binary")
     shards = -(-n // per_shard)
     laid = sent.repartition(max(1, min(shards, max(parts(spark), shards // 16))), "shard").groupBy("shard")
-    index = materialize(laid.applyInPandas(lay, "slot bigint, shard bigint, offset bigint, n_tokens bigint, crc32 bigint, doc_ids array<bigint>"), "training_order")
+    done = laid.applyInPandas(lay, "shard bigint, n bigint").agg(F.count("*").alias("shards"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    if (done.shards, done.n) != (shards, n):
+        raise ValueError(f"{done.shards} shards with {done.n} sequences were written, of {shards} with {n}")
     where, folder = fs.FileSystem.from_uri(path) if shards else (None, None)
     if where is not None:
         with where.open_output_stream(f"{folder}/manifest.json") as out:
             out.write(json.dumps({"sequences": n, "length": length, "dtype": dtype, "per_shard": per_shard, "stride": stride, "key": key, "fill": fill}).encode())
-    return index
+    return _index(spark, path, n, shards)
+
+
+def _index(spark: SparkSession, path: str, n: int, shards: int, rows: int = 1 << 16) -> DataFrame:
+    """The indexes of all shards, about `rows` of them a partition."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                with where.open_input_file(f"{folder}/index-{shard:08d}.parquet") as f:
+                    yield from pq.read_table(f, schema=_INDEX).to_batches()
+
+    return spark.range(0, shards, 1, max(1, min(shards, -(-n // rows)))).mapInArrow(read, INDEX)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that write_shards gave back when it wrote path."""
+    where, folder = fs.FileSystem.from_uri(path)
+    with where.open_input_stream(f"{folder}/manifest.json") as f:
+        m = json.loads(f.read())
+    return _index(spark, path, m["sequences"], -(-m["sequences"] // m["per_shard"]))
 
 
 def read_sequences(path: str, first: int, count: int) -> Iterator[np.ndarray]:

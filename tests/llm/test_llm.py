@@ -3,16 +3,19 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from heliograph.llm import decontaminate, graph, html, jaccard, packing, pii, quality, sharding, toxicity, training_order, urls
-from heliograph.llm.common import table_path
+from heliograph.llm.common import shared_dir, table_path
 from heliograph.llm.html_pages import Maker
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -387,6 +390,36 @@ def test_training_order(spark, docs, tmp_path):
     assert Counter(text) == Counter(b"".join((r.text or "").encode() + b"\xff" for r in docs.collect()))
 
 
+def test_training_order_writes_each_index_beside_its_shard(spark, docs, empty, tmp_path):
+    src = table_path(spark, "docs")
+    docs.coalesce(1).write.parquet(src)
+    tables = Path(shared_dir(spark).removeprefix("file://"), "tables")
+    before = set(tables.iterdir())
+    path = f"file://{tmp_path}/out"
+    got = training_order.write_shards(spark.read.parquet(src), path, length=256, per_shard=64)
+    assert set(tables.iterdir()) == before  # no table by Spark's writers
+    stream, ids = b"", []  # the one partition's tokens, and the id of the text that each belongs to
+    for r in spark.read.parquet(src).collect():
+        stream += (own := (r.text or "").encode() + b"\xff")
+        ids += [r.doc_id] * len(own)
+    n = -(-len(stream) // 256)
+    want = {}
+    for k, s in enumerate(training_order.permute(np.arange(n), n, 20_240_601).tolist()):
+        piece, inside = stream[256 * k : 256 * k + 256], ids[256 * k : 256 * k + 256]
+        body = piece.ljust(256, b"\xfe")
+        want[s] = (s, s // 64, s % 64 * 256, len(piece), zlib.crc32(body), [d for i, d in enumerate(inside) if d is not None and inside[i - 1 : i] != [d]]), body
+    assert sorted(tuple(r) for r in got.collect()) == [want[s][0] for s in range(n)]
+    assert [bytes(x) for x in training_order.read_sequences(path, 0, n)] == [want[s][1] for s in range(n)]
+    assert sorted(tuple(r) for r in training_order.read_index(spark, path).collect()) == [want[s][0] for s in range(n)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted([f"{k}-{s:08d}.{e}" for s in range(-(-n // 64)) for k, e in (("index", "parquet"), ("shard", "bin"))] + ["manifest.json"])
+    for s in range(-(-n // 64)):
+        rows = pq.read_table(tmp_path / f"out/index-{s:08d}.parquet").to_pylist()
+        assert [tuple(r.values()) for r in rows] == [want[k][0] for k in range(64 * s, min(n, 64 * s + 64))]
+    empty.write.parquet(none := table_path(spark, "docs"))
+    out = training_order.write_shards(spark.read.parquet(none), f"file://{tmp_path}/none")
+    assert out.count() == 0 and out.columns == got.columns
+
+
 # ------------------------------------------------------------------ 3, 4, 8, 10
 
 
