@@ -39,18 +39,26 @@ class Dyn:
         return self.text.isNull() if isinstance(self.kind, str) else self.kind.isNull()
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once a row. A filter is pushed below the columns that it names, and each
+    mention becomes the whole expression; nested mentions multiply."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _kind(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (s == "VOID"), F.lit(None))
-        .when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
-        .when(s == "STRING", "string").when(s == "BOOLEAN", "bool").otherwise("number")
-    )
+    def of_schema(s: Column) -> Column:
+        return (
+            F.when(s.isNull() | (s == "VOID"), F.lit(None))
+            .when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
+            .when(s == "STRING", "string").when(s == "BOOLEAN", "bool").otherwise("number")
+        )
+
+    return once(F.schema_of_variant(v), of_schema)
 
 
-def of_variant(v: Column) -> Dyn:
+def of_variant(v: Column, kind: Column | None = None) -> Dyn:
     text = F.try_variant_get(v, "$", "string")
-    return Dyn(_kind(v), text, F.try_variant_get(v, "$", "double"), v)
+    return Dyn(_kind(v) if kind is None else kind, text, F.try_variant_get(v, "$", "double"), v)
 
 
 def of_string(c: Column) -> Dyn:
@@ -137,8 +145,21 @@ def any_element(d: Dyn, test: Callable[[Dyn], Column]) -> Column:
     """test of the value, or of any element where it is an array (an empty array never matches)."""
     if d.raw is None:
         return test(d)
-    elements = F.try_variant_get(d.raw, "$", "array<variant>")
-    return F.when(d.is_kind("array"), false_if_null(F.exists(elements, lambda e: test(of_variant(e))))).otherwise(test(d))
+
+    def by_kind(v: Column, kind: Column) -> Column:
+        elements = F.try_variant_get(v, "$", "array<variant>")
+        return F.when(kind == "array", false_if_null(F.exists(elements, lambda e: bound(of_variant(e), test)))).otherwise(test(of_variant(v, kind)))
+
+    return once(d.raw, lambda v: once(_kind(v), lambda kind: by_kind(v, kind)))
+
+
+def bound(d: Dyn, use: Callable[[Dyn], Column]) -> Column:
+    """use(d), with what d is made of computed once a row."""
+    if d.raw is not None:
+        return once(d.raw, lambda v: once(_kind(v), lambda kind: use(of_variant(v, kind))))
+    if d.kind == "string":
+        return once(d.text, lambda text: use(of_string(text)))
+    return once(F.struct(d.text.alias("text"), d.number.alias("number")), lambda x: use(Dyn(d.kind, x["text"], x["number"])))
 
 
 # -------------------------------------------------------------- time

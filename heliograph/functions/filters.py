@@ -11,12 +11,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from heliograph.functions import dynamic as dyn
-from heliograph.functions.dynamic import Dyn, any_element, compare, false_if_null
+from heliograph.functions.dynamic import Dyn, any_element, bound, compare, false_if_null, once
 
 LEVELS = ("Verbose", "Debug", "Information", "Warning", "Error", "Fatal")
 LEVEL_WORDS = {name.lower(): k for k, name in enumerate(LEVELS)} | {"info": 2, "warn": 3}
@@ -80,17 +82,30 @@ def _variant_path(v: Column, path: Path) -> Column:
         if isinstance(p, int):
             v = F.try_variant_get(v, f"$[{p}]", "variant")
         elif p.isdigit():
-            v = F.coalesce(F.try_variant_get(v, _json_path([p]), "variant"), F.try_variant_get(v, f"$[{int(p)}]", "variant"))
+            v = once(v, lambda x, p=p: F.coalesce(F.try_variant_get(x, _json_path([p]), "variant"), F.try_variant_get(x, f"$[{int(p)}]", "variant")))
         else:
             v = F.try_variant_get(v, _json_path([p]), "variant")
     return v
 
 
 def _present(v: Column) -> Column:
-    return F.when(~F.is_variant_null(v), v)
+    return once(v, lambda x: F.when(~F.is_variant_null(x), x))
 
 
-def resolve(path: Path) -> Dyn:
+class Row:
+    """The columns that a filter reads. asked: those that may be made from JSON text, as far as they were read; they
+    come from `made`, a struct of them, if it is given."""
+
+    def __init__(self, made: Column | None = None):
+        self.made = made
+        self.asked: dict[str, None] = {}
+
+    def __getitem__(self, name: str) -> Column:
+        self.asked[name] = None
+        return F.col(name) if self.made is None else self.made[name]
+
+
+def resolve(path: Path, row: Row) -> Dyn:
     """A property: a built-in field, else a nested walk, else one flat dotted key."""
     name = path_text(path)
     if name == "@x.exists":
@@ -102,9 +117,9 @@ def resolve(path: Path) -> Dyn:
         return dyn.of_number(F.col("id"))
     if column:
         return dyn.of_string(F.col(column))
-    v = _present(_variant_path(F.col("props"), path))
+    v = _present(_variant_path(row["props"], path))
     if len(path) > 1 and all(isinstance(p, str) for p in path):
-        v = F.coalesce(v, _present(F.try_variant_get(F.col("props"), _json_path([name]), "variant")))
+        v = F.coalesce(v, _present(F.try_variant_get(row["props"], _json_path([name]), "variant")))
     return dyn.of_variant(v)
 
 
@@ -261,9 +276,10 @@ _NAMES = {*FUNCTIONS, *_TESTS, *("ci_" + t for t in _TESTS), "has", "isdefined",
 
 
 class _Parser:
-    def __init__(self, text: str):
+    def __init__(self, text: str, row: Row, at: int = 0):
         self.tokens = tokenize(text)
-        self.at = 0
+        self.row = row
+        self.at = at
 
     def peek(self, ahead: int = 0) -> tuple[str, str]:
         return self.tokens[min(self.at + ahead, len(self.tokens) - 1)]
@@ -370,24 +386,24 @@ class _Parser:
         left = self.path() if is_path else self.value()
         if self.peek()[0] == "not" and self.peek(1)[0] == "in":
             self.at += 2
-            return ~is_in(resolve(left if is_path else ("@l",)), self.items())
+            return ~is_in(resolve(left if is_path else ("@l",), self.row), self.items())
         if self.accept("in"):
-            return is_in(resolve(left if is_path else ("@l",)), self.items())
+            return is_in(resolve(left if is_path else ("@l",), self.row), self.items())
         if self.accept("like"):
             pattern = self.take("string")
-            return any_element(resolve(left), lambda d: is_like(d, pattern)) if is_path else F.lit(False)
+            return any_element(resolve(left, self.row), lambda d: is_like(d, pattern)) if is_path else F.lit(False)
         if self.peek()[0] == "op":
             op = self.take()
             right_is_path = self.peek()[0] in ("ident", "[")
             right = self.path() if right_is_path else self.value()
             if is_path and right_is_path:
-                b = resolve(right)
-                return any_element(resolve(left), lambda d: dyn.compare_dyn(d, op, b))
+                b = resolve(right, self.row)
+                return any_element(resolve(left, self.row), lambda d: dyn.compare_dyn(d, op, b))
             if is_path:
-                return any_element(resolve(left), lambda d: compare(d, op, right))
+                return any_element(resolve(left, self.row), lambda d: compare(d, op, right))
             if right_is_path:
                 flipped = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
-                return any_element(resolve(right), lambda d: compare(d, flipped, left))
+                return any_element(resolve(right, self.row), lambda d: compare(d, flipped, left))
             return F.lit(op == "!=" if (right is not None) else op == "=")
         if is_path and len(left) == 1 and str(left[0]).lower() in LEVEL_WORDS:
             return false_if_null(F.col("level") == LEVEL_WORDS[left[0].lower()])
@@ -395,7 +411,7 @@ class _Parser:
             terms = [path_text(left) if is_path else dyn.literal_text(left)]
             while self.peek()[0] == "string" or self.peek()[0] in ("ident", "number") and self.peek(1)[0] not in ("op", "in", "like", "(", "[", "."):
                 terms.append(self.take())
-            return free_text(terms)
+            return free_text(terms, self.row)
         return F.lit(True)
 
     # ------------------------------------------------------------ calls
@@ -404,7 +420,7 @@ class _Parser:
         """fromJson(P).path, if it comes next: the parsed text's variant, and the path."""
         if self.peek()[0] == "ident" and self.peek()[1].lower() == "fromjson" and self.peek(1)[0] == "(":
             self.at += 2
-            d = resolve(self.path())
+            d = resolve(self.path(), self.row)
             self.take(")")
             return dyn.of_variant(F.try_parse_json(d.text)), self.steps()
         return None
@@ -422,18 +438,18 @@ class _Parser:
     def call(self, name: str) -> Column:
         if name in ("has", "isdefined"):
             source = self.json_source()
-            d = _inside(*source) if source else resolve(self.path())
+            d = _inside(*source) if source else resolve(self.path(), self.row)
             self.take(")")
             return ~d.missing()
         if name.removeprefix("ci_") in _TESTS:
             source = self.json_source()
-            d = _inside(*source) if source else resolve(self.path())
+            d = _inside(*source) if source else resolve(self.path(), self.row)
             self.take(",")
             part = self.take("string")
             self.take(")")
             return text_test(d, _TESTS[name.removeprefix("ci_")], part, name.startswith("ci_"))
         if name == "regexmatch":
-            d = resolve(self.path())
+            d = resolve(self.path(), self.row)
             (pattern,) = self.arguments()
             return any_element(d, lambda e: false_if_null(e.text.rlike(str(pattern))))
         if name == "fromjson":
@@ -447,13 +463,12 @@ class _Parser:
                 return is_in(d, self.items())
             op, value = self.op_value()
             # a text that is no JSON, and a missing path, never match
-            found = source[0].raw.isNotNull() & (~d.missing() if source[1] else F.lit(True))
-            return found & any_element(d, lambda e: compare(e, op, value))
+            return bound(d, lambda x: ~x.missing() & any_element(x, lambda e: compare(e, op, value))) if source[1] else once(d.raw, lambda v: v.isNotNull() & any_element(dyn.of_variant(v), lambda e: compare(e, op, value)))
         if name in ("coalesce", "concat"):
             args = []
             while True:
                 if self.peek()[0] in ("ident", "["):
-                    args.append(resolve(self.path()))
+                    args.append(resolve(self.path(), self.row))
                 else:
                     args.append(self.value())
                 if not self.accept(","):
@@ -467,7 +482,7 @@ class _Parser:
             path = self.path()
             self.take(")")
             op, value = self.op_value()
-            return _members(path, name, op, value)
+            return _members(path, name, op, value, self.row)
         if name == "now":
             self.take(")")
             op, value = self.op_value()
@@ -475,16 +490,16 @@ class _Parser:
         if name == "offsetin":
             zone = self.take("string")
             self.take(",")
-            d = resolve(self.path())
+            d = resolve(self.path(), self.row)
             self.take(")")
             op, value = self.op_value()
             return any_element(d, lambda e: _compared(dyn.of_number(_offset_in(dyn.ticks_of(e), zone)), op, value, False))
         build, nullable = FUNCTIONS[name]
-        d = resolve(self.path())
+        d = resolve(self.path(), self.row)
         args = self.arguments()
         if self.accept("like"):
             pattern = self.take("string")
-            return any_element(d, lambda e: is_like(build(e, *args), pattern))
+            return any_element(d, lambda e: bound(build(e, *args), lambda x: is_like(x, pattern)))
         op, value = self.op_value()
         if name in _WHOLE:
             return _compared(build(d, *args), op, value, nullable)
@@ -492,7 +507,7 @@ class _Parser:
 
 
 def _compared(d: Dyn, op: str, value, nullable: bool) -> Column:
-    return compare(d, op, value) if nullable else ~d.missing() & compare(d, op, value)
+    return bound(d, lambda x: compare(x, op, value) if nullable else ~x.missing() & compare(x, op, value))
 
 
 def _inside(d: Dyn, path: Path) -> Dyn:
@@ -539,13 +554,13 @@ def _concat(args: list, op: str, value) -> Column:
     return ok & compare(dyn.of_string(F.concat(*parts)), op, value)
 
 
-def _members(path: Path, which: str, op: str, value) -> Column:
+def _members(path: Path, which: str, op: str, value, row: Row) -> Column:
     """keys(P) or values(P): an object's JSON list of keys (values) against the literal's JSON text."""
     if op not in ("=", "!="):
         return F.lit(False)
-    d = resolve(path)
+    d = resolve(path, row)
     keys = [str(p) for p in path]
-    source = F.get_json_object("props_json", "$" + "".join(f"['{k}']" for k in keys))
+    source = F.get_json_object(row["props_json"], "$" + "".join(f"['{k}']" for k in keys))
     items = F.to_json(F.json_object_keys(source)) if which == "keys" else F.to_json(F.map_values(F.from_json(source, "map<string,variant>")))
     items = F.regexp_replace(items, r",\s+", ",")
     empty = F.size(F.json_object_keys(source)) == 0
@@ -557,19 +572,39 @@ def _members(path: Path, which: str, op: str, value) -> Column:
     return d.is_kind("object") & out
 
 
-def free_text(terms: list[str]) -> Column:
+def free_text(terms: list[str], row: Row) -> Column:
     """Every term is part of the template, the exception's type or message, or a text property."""
     out = F.lit(True)
     for t in terms:
         up = t.upper()
         here = [false_if_null(F.upper(F.col(c)).contains(up)) for c in ("mt", "x.type", "x.message")]
-        leaf = false_if_null(F.exists("search_text", lambda s: F.upper(s).contains(up)))
+        leaf = false_if_null(F.exists(row["search_text"], lambda s: F.upper(s).contains(up)))
         out = out & (here[0] | here[1] | here[2] | leaf)
     return out
 
 
 def compile_filter(text: str | None) -> Column:
-    """The predicate of a filter text over the logs schema (heliograph.sources.schema)."""
+    """The predicate of a filter text over the logs schema (heliograph.sources.schema). Terms joined by `and` that read
+    none of the columns made from JSON text stay plain, before the others; these share one making of what they read."""
     if text is None or not text.strip():
         return F.lit(True)
-    return _Parser(text).any_of()
+    parser = _Parser(text, Row())
+    starts = [0]
+    parser.negation()
+    while parser.accept("and"):
+        starts.append(parser.at)
+        parser.negation()
+    whole = parser.peek()[0] == "or"
+    read = lambda at, row: _Parser(text, row, at).any_of() if whole else _Parser(text, row, at).negation()
+    plain, others, asked = [], [], {}
+    for at in [0] if whole else starts:
+        row = Row()
+        term = read(at, row)
+        asked |= row.asked
+        if row.asked:
+            others.append(at)
+        else:
+            plain.append(term)
+    if others:
+        plain.append(once(F.struct(*asked), lambda made: reduce(and_, (read(at, Row(made)) for at in others))))
+    return reduce(and_, plain)

@@ -11,7 +11,7 @@ from heliograph.functions import flow
 from heliograph.functions.filters import FilterSyntaxError, compile_filter
 from heliograph.functions.traceql import TraceQLError, compile_traceql
 from heliograph.operators import alerts, logs, metrics, traces
-from heliograph.sources import ingest, sinks
+from heliograph.sources import ingest, schema, sinks
 
 CLEF = [
     {"@t": "2024-01-01T00:00:01Z", "@mt": "Order {OrderId} shipped to {Region}", "@l": "error", "service.name": "Wallet.API", "@tr": "0123456789ABCDEF" * 2, "@x": {"type": "TimeoutException", "msg": "timed out", "stk": "at Ship", "inner": {"type": "SocketException", "msg": "reset by peer"}}, "OrderId": "o-1", "Region": "ae-dxb", "Tags": ["urgent", "ops"], "Score": 12345, "Ratio": 2.5, "Enabled": True, "Mirror": "ae-dxb", "Body": '{"a":{"b":[155,"x"]},"s":"12 AED"}', "Xml": "<root><amount>155</amount></root>", "Enc": "aGVsbG8=", "Dur": "1.02:03:04.5"},
@@ -223,3 +223,20 @@ def test_exemplars_lead_to_spans(spark):
     spans = spark.createDataFrame([("t", "a", None, 5, 7, "op", "s", 0, 0)], "trace_id string, span_id string, parent_span_id string, start_ns bigint, duration_ns bigint, name string, service string, status int, http_status int")
     found = spark.createDataFrame([(1, 2.0, "t", "a"), (2, 3.0, "u", "b")], "ts_ns bigint, value double, trace_id string, span_id string")
     assert sorted((r.ts_ns, r.name) for r in traces.exemplar_spans(found, spans).collect()) == [(1, "op"), (2, None)]
+
+
+def _made(spark, text, body):
+    """How often the plan of a filter over logs makes what: texts of structs, variants, XPath."""
+    body = F.to_json(F.struct(body.alias("Body"), F.col("id").alias("n")))
+    rows = spark.range(10).select("id", F.current_timestamp().alias("ts"), F.lit(1).alias("level"), F.lit("m").alias("mt"), body.alias("props_json"))
+    df = schema.as_logs(rows, deep=False).filter(compile_filter(text)).select("id")
+    condition = df._jdf.queryExecution().optimizedPlan().toString()
+    return [r.id for r in df.collect()], [condition.count(x) for x in ("StructsToJsonEvaluator(", "parseJson(", "xpath_string(")]
+
+
+def test_json_of_a_row_is_made_once(spark):
+    """A filter pushed below the view of logs makes the text and its variant once, whatever it reads of them."""
+    body = F.to_json(F.struct(F.concat(F.lit("s"), "id").alias("s")))
+    ids, (texts, parsed, _) = _made(spark, "fromJson(Body).s like '%3' or (startsWith(fromJson(Body).s, 'S') and n > 1) or ci_contains(fromJson(Body).s, 'S5') or n in [7]", body)
+    assert ids == [3, 5, 7]
+    assert (texts, parsed) == (2, 4)  # the row's two texts; its variant and one for each fromJson
