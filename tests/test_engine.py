@@ -231,7 +231,7 @@ def _made(spark, text, body):
     rows = spark.range(10).select("id", F.current_timestamp().alias("ts"), F.lit(1).alias("level"), F.lit("m").alias("mt"), body.alias("props_json"))
     df = schema.as_logs(rows, deep=False).filter(compile_filter(text)).select("id")
     condition = df._jdf.queryExecution().optimizedPlan().toString()
-    return [r.id for r in df.collect()], [condition.count(x) for x in ("StructsToJsonEvaluator(", "parseJson(", "xpath_string(")]
+    return [r.id for r in df.collect()], [condition.count(x) for x in ("StructsToJsonEvaluator(", "parseJson(", "XPathStringEvaluator(")]
 
 
 def test_json_of_a_row_is_made_once(spark):
@@ -240,3 +240,11 @@ def test_json_of_a_row_is_made_once(spark):
     ids, (texts, parsed, _) = _made(spark, "fromJson(Body).s like '%3' or (startsWith(fromJson(Body).s, 'S') and n > 1) or ci_contains(fromJson(Body).s, 'S5') or n in [7]", body)
     assert ids == [3, 5, 7]
     assert (texts, parsed) == (2, 4)  # the row's two texts; its variant and one for each fromJson
+
+
+def test_xml_of_a_row_is_read_once(spark):
+    """A function's result is compared, not computed again for each mention in the comparison."""
+    xml = F.concat(F.lit("<r><a>"), "id", F.lit("</a></r>"))
+    ids, (texts, parsed, read) = _made(spark, "fromXml(Body, 'r/a') = '5'", xml)
+    assert ids == [5] and (texts, parsed) == (1, 1)
+    assert read == 2  # of a value, and of an array's elements
