@@ -112,9 +112,17 @@ def bucket_of(duration_ns: Column) -> Column:
     return out
 
 
-def histogram(duration_ns: Column) -> list[Column]:
-    b = bucket_of(duration_ns)
-    return [F.count_if(b == k) for k in range(len(EDGES_MS) + 1)]
+def by_bucket(spans: DataFrame, *keys: str) -> DataFrame:
+    """Spans, errors and extremes of the duration by the keys and the bucket. Keys and numbers only, so that each task
+    counts in a small hash table; a text among what is aggregated would make it sort its rows."""
+    return spans.groupBy(*keys, bucket_of(F.col("duration_ns")).alias("bucket")).agg(
+        F.count("*").alias("spans"), F.count_if(F.col("status") == 2).alias("errors"), F.min("duration_ns").alias("min_ns"), F.max("duration_ns").alias("max_ns"),
+    )
+
+
+def histogram() -> Column:
+    """The counts of all buckets, over rows of by_bucket."""
+    return F.array(*(F.coalesce(F.sum(F.when(F.col("bucket") == k, F.col("spans"))), F.lit(0).cast("bigint")) for k in range(len(EDGES_MS) + 1)))
 
 
 def percentile(counts: Column, p: float) -> Column:
@@ -140,8 +148,8 @@ def percentile(counts: Column, p: float) -> Column:
 def latency(spans: DataFrame) -> DataFrame:
     """By service (case-insensitive): spans, errors, extremes and percentiles in milliseconds."""
     return (
-        spans.groupBy(F.upper("service").alias("_k"))
-        .agg(F.min("service").alias("service"), F.count("*").alias("spans"), F.count_if(F.col("status") == 2).alias("errors"), F.min("duration_ns").alias("min_ns"), F.max("duration_ns").alias("max_ns"), F.array(*histogram(F.col("duration_ns"))).alias("counts"))
+        by_bucket(spans, "service").groupBy(F.upper("service").alias("_k"))
+        .agg(F.min("service").alias("service"), F.sum("spans").alias("spans"), F.sum("errors").alias("errors"), F.min("min_ns").alias("min_ns"), F.max("max_ns").alias("max_ns"), histogram().alias("counts"))
         .select("service", "spans", "errors", (F.col("min_ns") / MS).alias("min_ms"), (F.col("max_ns") / MS).alias("max_ms"), *(percentile(F.col("counts"), p / 100).alias(f"p{p}_ms") for p in (50, 95, 99)), "counts")
     )
 
@@ -159,7 +167,7 @@ def trace_stats(spans: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     """One row: traces, error rate in per cent, percentiles of all spans, traces a second."""
     inside = within(spans, start_ns, end_ns)
     traces = summaries(inside).agg(F.count("*").alias("traces"), F.count_if("has_error").alias("failed"))
-    durations = inside.agg(F.array(*histogram(F.col("duration_ns"))).alias("counts"))
+    durations = by_bucket(inside).agg(histogram().alias("counts"))
     seconds = max(1.0, (end_ns - start_ns) / 1e9)
     both = traces.withColumn("_one", F.lit(1)).join(durations.withColumn("_one", F.lit(1)), "_one")  # one row each
     return both.select("traces", F.when(F.col("traces") > 0, F.col("failed") * 100.0 / F.col("traces")).otherwise(0.0).alias("error_rate"), *(percentile(F.col("counts"), p / 100).alias(f"p{p}_ms") for p in (50, 95, 99)), (F.col("traces") / F.lit(seconds)).alias("per_second"))
@@ -173,7 +181,8 @@ def graph_edges(spans: DataFrame) -> DataFrame:
     parent = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("from_service"))
     child = spans.filter(~is_root()).select("trace_id", "parent_span_id", F.col("service").alias("to_service"), "status", "duration_ns")
     met = child.join(parent, ["trace_id", "parent_span_id"]).filter("from_service <> to_service")
-    return met.groupBy("from_service", "to_service").agg(F.count("*").alias("calls"), F.count_if(F.col("status") == 2).alias("errors"), F.array(*histogram(F.col("duration_ns"))).alias("counts")).select("from_service", "to_service", "calls", "errors", (F.col("errors") / F.col("calls")).alias("error_rate"), percentile(F.col("counts"), 0.95).alias("p95_ms"))
+    edges = by_bucket(met, "from_service", "to_service").groupBy("from_service", "to_service").agg(F.sum("spans").alias("calls"), F.sum("errors").alias("errors"), histogram().alias("counts"))
+    return edges.select("from_service", "to_service", "calls", "errors", (F.col("errors") / F.col("calls")).alias("error_rate"), percentile(F.col("counts"), 0.95).alias("p95_ms"))
 
 
 def graph_nodes(spans: DataFrame) -> DataFrame:

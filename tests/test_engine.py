@@ -248,3 +248,26 @@ def test_xml_of_a_row_is_read_once(spark):
     ids, (texts, parsed, read) = _made(spark, "fromXml(Body, 'r/a') = '5'", xml)
     assert ids == [5] and (texts, parsed) == (1, 1)
     assert read == 2  # of a value, and of an array's elements
+
+
+def _first_aggregate(df):
+    """The aggregate that meets the rows, deepest in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+
+
+def test_latency_counts_in_hash_tables(spark):
+    """No task sorts its spans to count them; services that differ by case are one, in any bucket."""
+    ms = 1_000_000
+    rows = [("t", "Api", 2, ms - 1), ("t", "api", 0, ms), ("t", "API", 2, 2_000_000 * ms), ("t", "api", 0, None), ("t", None, 1, 7 * ms)]
+    spans = spark.createDataFrame(rows, "trace_id string, service string, status int, duration_ns bigint")
+    assert "HashAggregate" in _first_aggregate(traces.latency(spans))
+    got = {r.service: r for r in traces.latency(spans).collect()}
+    assert set(got) == {"API", None}
+    r = got["API"]
+    assert (r.spans, r.errors, r.min_ms, r.max_ms) == (4, 2, (ms - 1) / ms, 2_000_000.0)
+    assert r.counts == [1, 1, *[0] * 16, 2] and got[None].counts == [0, 0, 1, *[0] * 16]
+    assert r.p50_ms == 5.0
+    assert [x.counts for x in traces.latency(spans.filter("false")).collect()] == []
+    empty = traces.trace_stats(_spans(spark).filter("false"), 0, 10**12).first()
+    assert (empty.traces, empty.error_rate, empty.p95_ms) == (0, 0.0, 0.0)
