@@ -176,18 +176,22 @@ def trace_stats(spans: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
 # ------------------------------------------------------------------ structure
 
 
-def graph_edges(spans: DataFrame) -> DataFrame:
-    """Calls from one service to another: child spans whose parent, in the same trace, is of another service."""
+def calls(spans: DataFrame) -> DataFrame:
+    """Child spans whose parent, in the same trace, is of another service."""
     parent = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("from_service"))
     child = spans.filter(~is_root()).select("trace_id", "parent_span_id", F.col("service").alias("to_service"), "status", "duration_ns")
-    met = child.join(parent, ["trace_id", "parent_span_id"]).filter("from_service <> to_service")
-    edges = by_bucket(met, "from_service", "to_service").groupBy("from_service", "to_service").agg(F.sum("spans").alias("calls"), F.sum("errors").alias("errors"), histogram().alias("counts"))
+    return child.join(parent, ["trace_id", "parent_span_id"]).filter("from_service <> to_service")
+
+
+def graph_edges(spans: DataFrame) -> DataFrame:
+    """Calls from one service to another, with their errors and p95."""
+    edges = by_bucket(calls(spans), "from_service", "to_service").groupBy("from_service", "to_service").agg(F.sum("spans").alias("calls"), F.sum("errors").alias("errors"), histogram().alias("counts"))
     return edges.select("from_service", "to_service", "calls", "errors", (F.col("errors") / F.col("calls")).alias("error_rate"), percentile(F.col("counts"), 0.95).alias("p95_ms"))
 
 
 def graph_nodes(spans: DataFrame) -> DataFrame:
     """The services at either end of an edge, with their spans, error rate and p95 (0 where none)."""
-    edges = graph_edges(spans)
+    edges = calls(spans).select("from_service", "to_service").distinct()  # of calls only their ends are read
     names = edges.select(F.explode(F.array("from_service", "to_service")).alias("service")).distinct()
     own = latency(spans).select(F.upper("service").alias("_k"), "spans", "errors", "p95_ms")
     return names.join(own, F.upper("service") == F.col("_k"), "left").select("service", F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce(F.col("errors") / F.col("spans"), F.lit(0.0)).alias("error_rate"), F.coalesce("p95_ms", F.lit(0.0)).alias("p95_ms"))

@@ -271,3 +271,13 @@ def test_latency_counts_in_hash_tables(spark):
     assert [x.counts for x in traces.latency(spans.filter("false")).collect()] == []
     empty = traces.trace_stats(_spans(spark).filter("false"), 0, 10**12).first()
     assert (empty.traces, empty.error_rate, empty.p95_ms) == (0, 0.0, 0.0)
+
+
+def test_graph_nodes_count_in_hash_tables(spark):
+    """Nodes sort no spans to count them; a service at an end of a call has all its spans, whatever their case."""
+    rows = [("t", "1", None, "Api", 2, 3_000_000), ("t", "2", "1", "db", 0, 500_000), ("u", "3", None, "api", 0, 3_000_000), ("u", "4", "3", "api", 0, 1), ("v", "5", None, "alone", 0, 1)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, service string, status int, duration_ns bigint")
+    nodes = traces.graph_nodes(spans)
+    assert "HashAggregate" in _first_aggregate(nodes)
+    assert "bucket" not in nodes._jdf.queryExecution().optimizedPlan().toString().split("explode", 1)[1].split("Aggregate [_groupingexpression", 1)[0]  # the calls are not counted
+    assert sorted((r.service, r.spans, round(r.error_rate, 3), r.p95_ms) for r in nodes.collect()) == [("Api", 3, 0.333, 5.0), ("db", 1, 0.0, 1.0)]
